@@ -62,20 +62,28 @@ def holding_periods(spark, sf):
     return cal.holding_days(days, cal.execution_dates(days, days.where(F.col("day") % 4 == 1)))
 
 
-@query(with_panel("""
-SELECT r.date, r.code, round(CASE WHEN (SELECT count(*) FROM days d WHERE d.date <= r.date) < 5 THEN 1.0
-   ELSE greatest(least(coalesce(CASE WHEN m.mid > 1e-12 THEN raw / m.mid ELSE raw END, 1.0), 10.0), 0.1) END, 6) AS cost
-FROM raw r JOIN (SELECT date, median(raw) AS mid FROM raw GROUP BY 1) m ON m.date = r.date""", RETURNS + """,
-targets AS (SELECT date, day FROM days WHERE day % 10 = 2),
+def cost_sql(targets: str, universe: str) -> str:
+    """Tables raw and costs for a filter on days d and one on the panel u."""
+    return f"""
+ct AS (SELECT d.date, d.day FROM days d WHERE {targets}),
 raw AS (
   SELECT t.date, u.code,
          stddev_samp(CASE WHEN d.day > t.day - 19 THEN r.ret END) * sqrt(252.0)
            / sqrt(greatest(avg(p.amount), 1.0)) AS raw
-  FROM targets t JOIN panel u ON u.date = t.date AND u.code NOT LIKE '%.BJ'
+  FROM ct t JOIN panel u ON u.date = t.date AND {universe}
   JOIN days d ON d.day BETWEEN t.day - 19 AND t.day
   JOIN panel p ON p.date = d.date AND p.code = u.code
   JOIN rets r ON r.date = p.date AND r.code = p.code
-  GROUP BY 1, 2)"""))
+  GROUP BY 1, 2),
+costs AS (
+  SELECT r.date, r.code, CASE WHEN (SELECT count(*) FROM days d WHERE d.date <= r.date) < 5 THEN 1.0
+     ELSE greatest(least(coalesce(CASE WHEN m.mid > 1e-12 THEN raw / m.mid ELSE raw END, 1.0), 10.0), 0.1) END AS cost
+  FROM raw r JOIN (SELECT date, median(raw) AS mid FROM raw GROUP BY 1) m ON m.date = r.date)
+"""
+
+
+@query(with_panel("SELECT date, code, round(cost, 6) AS cost FROM costs",
+                  RETURNS.rstrip() + "," + cost_sql("d.day % 10 = 2", "u.code NOT LIKE '%.BJ'")))
 def impact_cost(spark, sf):
     panel, days, n = load(spark, sf)
     targets = days.where(F.col("day") % 10 == 2)

@@ -126,7 +126,7 @@ def smooth(signal: DataFrame, keys: Sequence[str] = ("code",), decay: str = "dec
     ``decay``; a decay of 0 keeps s. A run is folded as one array, which is no
     longer than the calendar.
     """
-    by_key = Window.partitionBy(*keys).orderBy("day")
+    by_key = Window.partitionBy(*keys, decay).orderBy("day")
     run = F.col("day") - F.row_number().over(by_key)
     others = [c for c in signal.columns if c not in (*keys, decay)]
     rows = F.sort_array(F.collect_list(F.struct("day", *[c for c in others if c != "day"])))
