@@ -22,8 +22,8 @@ def month_of(column: str):
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proxy panel, one row per (code, month) that had shipments."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    hundredths = F.round(F.col("l_discount") * 100).cast("long")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    hundredths = F.rint(F.col("l_discount") * 100).cast("long")
     # one hot supplier is summed in the map tasks before it is shuffled
     cells = (
         table(spark, sf_dir, "lineitem")
@@ -37,9 +37,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("lines"),
         )
     )
-    names = table(spark, sf_dir, "supplier").join(
-        F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
-    )
+    suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     by_code = Window.partitionBy("l_suppkey").orderBy("date")
     first = Window.partitionBy("l_suppkey")
     prev_month = F.lag("date").over(by_code) == F.add_months("date", -1)
@@ -49,7 +47,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     total_mv = F.col("qty") * 10.0
     vwap = F.col("cents") / 100.0 / F.col("qty")
-    return priced.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    named = priced.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        nations, F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    return named.select(
         F.concat(
             F.lpad(key.cast("string"), 6, "0"), F.when(key % 10 == 0, ".BJ").otherwise(".SZ")
         ).alias("code"),
