@@ -238,10 +238,15 @@ def drift_nav(
         .select(*at, "_base")
     )
     nav = values.join(bases, at).select(*keys, "date", (F.col("growth") * F.col("_base")).alias("nav"))
+    return days_before_first(weights, plan, calendar, keys).unionByName(nav)
+
+
+def days_before_first(weights: DataFrame, plan: DataFrame, calendar: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, date, nav) with nav 1 from the first signal to the day before the first execution."""
     starts = weights.groupBy(*keys).agg(F.min("date").alias("_start"))
     firsts = plan.groupBy(*keys).agg(F.min("exec_date").alias("_first"))
     days = F.broadcast(calendar.select("date", "day"))
-    waiting = (
+    return (
         starts.join(firsts, list(keys))
         .join(days.withColumnRenamed("date", "_start").withColumnRenamed("day", "_a"), "_start")
         .join(days.withColumnRenamed("date", "_first").withColumnRenamed("day", "_b"), "_first")
@@ -250,5 +255,3 @@ def drift_nav(
         .join(days, "day")
         .select(*keys, "date", F.lit(1.0).alias("nav"))
     )
-    return waiting.unionByName(nav)
-

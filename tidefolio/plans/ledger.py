@@ -1,0 +1,203 @@
+"""Share-level backtest: holdings and cash carried from trade to trade.
+
+What a blocked trade leaves in shares or cash changes every later trade, so the
+execution days follow one another; that loop runs over calendar dates only.
+One step is one job over all strategies and names: the holdings of the last
+step meet the new targets and the day's prices by code, and the new holdings
+are written to the shared folder. The daily values are computed once, at the
+end, from the written steps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tidefolio.functions import fixed as K
+from tidefolio.operators import execution as ex
+from tidefolio.operators.calendar import holding_days
+from tidefolio.operators.groups import with_aggregates
+from tidefolio.session import cut_lineage, new_table_path
+
+KEYS = ("scenario_id",)
+TINY = 1e-10
+
+
+def _zero(c: str | Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def _trade(
+    day: DataFrame, held: DataFrame, cash: DataFrame, targets: DataFrame, keys: Sequence[str],
+    cost_buy: float, cost_sell: float, max_rows: int | None,
+) -> DataFrame:
+    """One execution: (keys, code, shares, waiting, cash and the day's totals).
+
+    Sales first, then buys scaled to the cash at hand. A sale that is blocked
+    waits with the number of shares in ``waiting``; a blocked buy is dropped.
+    """
+    both = held.select(*keys, "code", "shares", F.lit(0.0).alias("weight")).unionByName(
+        targets.select(*keys, "code", F.lit(0.0).alias("shares"), "weight")
+    )
+    rows = (
+        both.groupBy(*keys, "code")
+        .agg(F.sum("shares").alias("shares"), F.sum("weight").alias("weight"))
+        .join(day, "code", "left")
+        .join(cash, list(keys))
+        .withColumn("_now", F.col("shares") * _zero("price"))
+    )
+    rows = with_aggregates(rows, keys, {"_stock": F.sum("_now")}, max_rows)
+    no = F.lit(False)
+    rows = rows.withColumn("total", F.col("cash") + F.col("_stock")).withColumn(
+        "_delta", F.col("weight") * F.col("total") - F.col("_now")
+    )
+    priced = F.col("price").isNotNull()
+    sale = priced & (F.col("_delta") < -K.MIN_TRADE)
+    buy = priced & (F.col("_delta") > K.MIN_TRADE)
+    may_sell, may_buy = ~F.coalesce("cant_sell", no), ~F.coalesce("cant_buy", no)
+    wanted = -F.col("_delta") / F.col("price")
+    sold = F.least(wanted, F.col("shares"))
+    rows = rows.withColumns(
+        {
+            "_sold": F.when(sale & may_sell & (sold > TINY), sold).otherwise(0.0),
+            "waiting": F.when(sale & ~may_sell, wanted).otherwise(0.0),
+            "_want": F.when(buy & may_buy, F.col("_delta")).otherwise(0.0),
+        }
+    )
+    sums = {
+        "_proceeds": F.sum(F.col("_sold") * _zero("price")),
+        "_demand": F.sum("_want"),
+        "buy_fail": F.sum(F.when(buy & ~may_buy, 1).otherwise(0)),
+        "sell_defer": F.sum(F.when(F.col("waiting") > 0, 1).otherwise(0)),
+    }
+    rows = with_aggregates(rows, keys, sums, max_rows)
+    at_hand = F.col("cash") + F.col("_proceeds") * (1 - cost_sell)
+    scale = F.least(F.lit(1.0), at_hand / (F.col("_demand") * (1 + cost_buy) + 1e-8))
+    bought = F.col("_want") * scale
+    rows = rows.withColumn("_bought", F.when(bought >= K.MIN_TRADE, bought).otherwise(0.0))
+    rows = with_aggregates(rows, keys, {"_spent": F.sum("_bought")}, max_rows)
+    return rows.select(
+        *keys,
+        "code",
+        (F.col("shares") - F.col("_sold") + _zero(F.col("_bought") / F.col("price"))).alias("shares"),
+        "waiting",
+        F.greatest(at_hand - F.col("_spent") * (1 + cost_buy), F.lit(0.0)).alias("cash"),
+        ((F.col("_proceeds") + F.col("_spent")) / (F.col("total") + 1e-12)).alias("turnover"),
+        "buy_fail",
+        "sell_defer",
+    )
+
+
+def _with_late_sales(traded: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add sale_date and late_price of waiting sales: the first day they may be sold at a price."""
+    waiting = traded.where(F.col("waiting") >= TINY).select(*keys, "code", "exec_date", "next_exec_date")
+    open_days = prices.where(~F.col("cant_sell") & F.col("price").isNotNull()).select("date", "code", "price")
+    in_time = (F.col("date") > F.col("exec_date")) & (F.col("date") <= F.coalesce("next_exec_date", F.col("date")))
+    found = (
+        waiting.join(open_days, "code")
+        .where(in_time)
+        .groupBy(*keys, "code")
+        .agg(F.min("date").alias("sale_date"), F.min_by("price", "date").alias("late_price"))
+    )
+    return traded.join(found, [*keys, "code"], "left").withColumn(
+        "late", F.when(F.col("sale_date").isNotNull(), F.least("waiting", "shares")).otherwise(0.0)
+    )
+
+
+def run_ledger(
+    weights: DataFrame,
+    calendar: DataFrame,
+    panel: DataFrame,
+    value: float = 1e8,
+    cost_buy: float = K.BUY_COST,
+    cost_sell: float = K.SELL_COST,
+    keys: Sequence[str] = KEYS,
+    max_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Daily values, trades per execution day, and execution statistics.
+
+    (keys, date, nav, cash_share); (keys, exec_date, turnover, buy_fail,
+    sell_defer); (keys, buy_fail_count, sell_defer_count, avg_cash_pct).
+    ``weights``, ``calendar`` and ``panel`` are read at every step and should
+    be stored tables.
+    """
+    spark = weights.sparkSession
+    prices = cut_lineage(ex.trade_prices(panel))
+    steps = cut_lineage(_steps(weights, calendar, keys))
+    path = new_table_path(spark, "ledger")
+    # one row per execution day: bounded by the calendar
+    dates = [r[0] for r in steps.select("exec_date").distinct().orderBy("exec_date").collect()]
+    for i, day in enumerate(dates):
+        now = steps.where(F.col("exec_date") == F.lit(day))
+        held, cash = _last_state(spark, path, now, i, value, keys, cost_sell)
+        targets = weights.join(now.withColumnRenamed("signal_date", "date").select(*keys, "date"), [*keys, "date"])
+        today = prices.where(F.col("date") == F.lit(day)).drop("date", "value_price")
+        traded = _trade(today, held, cash, targets, keys, cost_buy, cost_sell, max_rows)
+        dated = traded.join(now.select(*keys, "exec_date", "next_exec_date"), list(keys))
+        _with_late_sales(dated, prices, keys).write.parquet(f"{path}/{i:06d}")
+    ledger = spark.read.parquet(*[f"{path}/{i:06d}" for i in range(len(dates))])
+    nav = cut_lineage(_daily_values(ledger, steps, weights, calendar, prices, value, cost_sell, keys))
+    at = [*keys, "exec_date"]
+    trades = ledger.groupBy(*at).agg(*[F.max(c).alias(c) for c in ("turnover", "buy_fail", "sell_defer")])
+    stats = (
+        trades.groupBy(*keys)
+        .agg(F.sum("buy_fail").alias("buy_fail_count"), F.sum("sell_defer").alias("sell_defer_count"))
+        .join(nav.groupBy(*keys).agg(F.avg("cash_share").alias("avg_cash_pct")), list(keys))
+    )
+    return nav, trades, stats
+
+
+def _steps(weights: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The schedule with the number of the step that holds each strategy's last state."""
+    plan = ex.schedule(weights, calendar, keys)
+    numbered = plan.select("exec_date").distinct().withColumn("step", F.row_number().over(Window.orderBy("exec_date")) - 1)
+    w = Window.partitionBy(*keys).orderBy("exec_date")
+    return plan.join(F.broadcast(numbered), "exec_date").withColumn("last_step", F.lag("step").over(w))
+
+
+def _last_state(
+    spark: SparkSession, path: str, now: DataFrame, step: int, value: float, keys: Sequence[str], cost_sell: float
+) -> tuple[DataFrame, DataFrame]:
+    """Shares and cash before today's trades, late sales up to today included."""
+    last = [r[0] for r in now.select("last_step").distinct().collect() if r[0] is not None]
+    fresh = now.where(F.col("last_step").isNull()).select(*keys, F.lit(float(value)).alias("cash"))
+    if not last:
+        none = fresh.select(*keys, F.lit("").alias("code"), F.lit(0.0).alias("shares")).where(F.lit(False))
+        return none, fresh
+    old = spark.read.parquet(*[f"{path}/{i:06d}" for i in last])
+    mine = old.join(now.where(F.col("last_step").isNotNull()).select(*keys, F.col("exec_date").alias("_today")), list(keys))
+    # a strategy's last step is the one whose next execution is today
+    mine = mine.where(F.col("next_exec_date") == F.col("_today"))
+    held = mine.select(*keys, "code", (F.col("shares") - F.col("late")).alias("shares")).where(F.col("shares") > TINY)
+    cash = mine.groupBy(*keys).agg(
+        (F.max("cash") + F.sum(F.col("late") * _zero("late_price")) * (1 - cost_sell)).alias("cash")
+    )
+    return held, cash.unionByName(fresh)
+
+
+def _daily_values(
+    ledger: DataFrame, steps: DataFrame, weights: DataFrame, calendar: DataFrame, prices: DataFrame,
+    value: float, cost_sell: float, keys: Sequence[str],
+) -> DataFrame:
+    """(keys, date, nav, cash_share) from the first signal date on."""
+    at = [*keys, "exec_date"]
+    spans = holding_days(calendar, steps.select(*keys, F.col("signal_date").alias("date"), "exec_date"), keys).select(*at, "date")
+    sold = F.when(F.col("date") >= F.col("sale_date"), F.col("late")).otherwise(0.0)
+    on_day = (
+        ledger.select(*at, "code", "shares", "late", "sale_date", "late_price")
+        .join(spans, at)
+        .withColumns({"_late": sold})
+        .join(prices.select("date", "code", "value_price"), ["date", "code"], "left")
+        .groupBy(*at, "date")
+        .agg(
+            F.sum((F.col("shares") - F.col("_late")) * _zero("value_price")).alias("_stock"),
+            (F.sum(F.col("_late") * _zero("late_price")) * (1 - cost_sell)).alias("_in"),
+        )
+    )
+    base = ledger.groupBy(*at).agg(F.max("cash").alias("cash"))
+    valued = on_day.join(base, at).withColumn("cash", F.col("cash") + F.col("_in")).select(
+        *keys, "date", ((F.col("_stock") + F.col("cash")) / value).alias("nav"),
+        (F.col("cash") / (F.col("_stock") + F.col("cash"))).alias("cash_share"),
+    )
+    return ex.days_before_first(weights, steps, calendar, keys).withColumn("cash_share", F.lit(1.0)).unionByName(valued)
