@@ -1,0 +1,94 @@
+"""The share ledger against a small account book kept day by day."""
+
+from datetime import date, timedelta
+
+import numpy as np
+import pytest
+
+from tidefolio.operators.calendar import trading_calendar
+from tidefolio.plans.ledger import run_ledger
+
+DAYS, CODES = 24, 7
+FIRST = date(2024, 1, 1)
+BUY, SELL, VALUE = 0.001, 0.002, 1e6
+
+
+def _market(seed):
+    rng = np.random.default_rng(seed)
+    close = 10 * np.exp(np.cumsum(rng.normal(0, 0.03, (DAYS, CODES)), axis=0))
+    vwap = close * rng.uniform(0.98, 1.02, (DAYS, CODES))
+    state = rng.choice(["ok", "halt", "up", "down", "noprice"], (DAYS, CODES), p=[0.62, 0.1, 0.1, 0.1, 0.08])
+    rows = []
+    for t in range(DAYS):
+        for i in range(CODES):
+            s, c = state[t, i], float(close[t, i])
+            rows.append((
+                FIRST + timedelta(t), f"c{i}", c, None if s == "noprice" else float(vwap[t, i]), c,
+                c if s == "up" else c * 1.1, c if s == "down" else c * 0.9, "停牌" if s == "halt" else "交易",
+            ))
+    signals = {}
+    for t in (2, 7, 8, 15):
+        w = rng.dirichlet(np.ones(CODES)) * (0.9 if t == 7 else 1.0)
+        w[rng.integers(0, CODES)] = 0.0
+        signals[t] = w / w.sum() * (0.9 if t == 7 else 1.0)
+    return rows, close, vwap, state, signals
+
+
+def _book(close, vwap, state, signals):
+    """Reference account: one portfolio, numpy rows of names."""
+    shares, cash, owed = np.zeros(CODES), VALUE, np.zeros(CODES)
+    navs, traded, fails, defers, cash_share = {}, {}, 0, 0, []
+    for t in range(min(signals), DAYS):
+        price = np.where(state[t] == "noprice", 0.0, vwap[t])
+        halted = state[t] == "halt"
+        open_sell, open_buy = ~halted & (state[t] != "down"), ~halted & (state[t] != "up")
+        late = (owed > 0) & open_sell & (price > 0)
+        out = np.where(late, np.minimum(owed, shares), 0.0)
+        shares, owed, cash = shares - out, np.where(late, 0.0, owed), cash + (out * price).sum() * (1 - SELL)
+        if t - 1 in signals:
+            total = cash + (shares * price).sum()
+            gap = np.where(price > 0, signals[t - 1] * total - shares * price, 0.0)
+            sells, buys = gap < -1, gap > 1
+            held_back = sells & ~open_sell
+            owed = np.where(held_back, -gap / np.where(price > 0, price, 1), 0.0)
+            defers += held_back.sum()
+            out = np.where(sells & open_sell, np.minimum(-gap / np.where(price > 0, price, 1), shares), 0.0)
+            shares, cash = shares - out, cash + (out * price).sum() * (1 - SELL)
+            fails += (buys & ~open_buy).sum()
+            want = np.where(buys & open_buy, gap, 0.0)
+            got = want * min(1.0, cash / (want.sum() * (1 + BUY) + 1e-8))
+            got = np.where(got < 1, 0.0, got)
+            shares = shares + np.divide(got, price, out=np.zeros(CODES), where=price > 0)
+            cash = max(cash - got.sum() * (1 + BUY), 0.0)
+            traded[t] = ((out * price).sum() + got.sum()) / total
+        worth = cash + (shares * close[t]).sum()
+        navs[t] = worth / VALUE
+        cash_share.append(cash / worth)
+    return navs, traded, fails, defers, np.mean(cash_share)
+
+
+def _weights(spark, books):
+    rows = [(name, FIRST + timedelta(t), f"c{i}", float(w[i])) for name, s in books.items() for t, w in s.items() for i in range(CODES)]
+    return spark.createDataFrame(rows, "scenario_id string, date date, code string, weight double")
+
+
+SCHEMA = "date date, code string, adj_close double, adj_vwap double, close double, limit_up double, limit_down double, trade_status string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ledger_equals_account_book(spark, seed):
+    rows, close, vwap, state, signals = _market(seed)
+    panel = spark.createDataFrame(rows, SCHEMA)
+    other = {t + 1: w[::-1].copy() for t, w in signals.items()}
+    books = {"a": signals, "b": other}
+    nav, trades, stats = run_ledger(_weights(spark, books), trading_calendar(panel), panel, VALUE, BUY, SELL)
+    nav_rows, trade_rows, stat_rows = nav.collect(), trades.collect(), stats.collect()
+    for name, s in books.items():
+        want_nav, want_trades, fails, defers, mean_cash = _book(close, vwap, state, s)
+        got = {(r.date - FIRST).days: r.nav for r in nav_rows if r.scenario_id == name}
+        assert got == pytest.approx(want_nav, rel=1e-9)
+        turn = {(r.exec_date - FIRST).days: r.turnover for r in trade_rows if r.scenario_id == name}
+        assert turn == pytest.approx(want_trades, rel=1e-9)
+        stat = next(r for r in stat_rows if r.scenario_id == name)
+        assert (stat.buy_fail_count, stat.sell_defer_count) == (fails, defers)
+        assert stat.avg_cash_pct == pytest.approx(mean_cash, rel=1e-9)

@@ -11,7 +11,10 @@ from tidefolio.functions import fixed as K
 from tidefolio.functions.cols import flexible_date, null_if_nan
 from tidefolio.operators.timeseries import one_row_per_key
 
-PANEL_TYPE = T.StructType.fromDDL(K.PANEL_SCHEMA)
+TYPES = {"string": T.StringType(), "date": T.DateType(), "double": T.DoubleType(), "int": T.IntegerType()}
+PANEL_TYPE = T.StructType(
+    [T.StructField(name, TYPES[kind]) for name, kind in (c.split() for c in K.PANEL_SCHEMA.split(","))]
+)
 
 
 def preset(name: str) -> tuple[str, ...]:
