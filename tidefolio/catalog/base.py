@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidefolio.operators.calendar import trading_calendar
 from tidefolio.plans import proxy
 from tidefolio.session import cut_lineage
 
@@ -77,4 +78,4 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """As load(), with the panel written once because the query reads it several times."""
     panel = cut_lineage(proxy.panel(spark, sf_dir))
-    return panel, cut_lineage(proxy.calendar(spark, sf_dir)), proxy.codes(spark, sf_dir)
+    return panel, cut_lineage(trading_calendar(panel)), proxy.codes(spark, sf_dir)

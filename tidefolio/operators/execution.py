@@ -17,6 +17,7 @@ from tidefolio.functions import fixed as K
 from tidefolio.functions.cols import cannot_buy, cannot_sell, positive, ratio
 from tidefolio.operators.calendar import execution_dates, holding_days
 from tidefolio.operators.groups import with_aggregates
+from tidefolio.session import cut_lineage
 
 KEYS = ("scenario_id",)
 
@@ -223,8 +224,9 @@ def drift_nav(
     Days before the first execution stand at 1. Periods are chained by
     (keys, exec_date), of which there are no more than trading days.
     """
-    plan = schedule(weights, calendar, keys)
-    positions = target_positions(weights, plan, prices, keys)
+    # both are read several times below
+    plan = cut_lineage(schedule(weights, calendar, keys))
+    positions = cut_lineage(target_positions(weights, plan, prices, keys))
     values = period_values(positions, plan, calendar, prices, keys)
     at = [*keys, "exec_date"]
     fees = plan.select(*at).join(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidefolio.functions import fixed as K
 from tidefolio.operators.calendar import asof_dates, between_dates
-from tidefolio.operators.groups import with_median
+from tidefolio.operators.groups import quantiles, with_median
 from tidefolio.operators.timeseries import one_row_per_key
 
 
@@ -115,11 +115,7 @@ def specific_asof(universe: DataFrame, dates: DataFrame, specific: DataFrame, ma
 
     The median is over all names of the risk date, not over the universe.
     """
-    mids = (
-        with_median(specific, ["rebal_date"], "spec_var", "_mid", max_rows)
-        .select("rebal_date", "_mid")
-        .distinct()
-    )
+    mids = quantiles(specific, ["rebal_date"], "spec_var", {"_mid": 0.5}, max_rows)
     at = universe.select("date", "code").join(F.broadcast(dates), "date")
     return (
         at.join(specific, ["rebal_date", "code"], "left")
