@@ -63,7 +63,7 @@ def coupled_weights(spark, sf):
     at = cut_lineage(rk.exposures_asof(names, dates, exposures))
     inputs = cut_lineage(al.allocation_inputs(bd.tradable_alpha(bd.name_bounds(bd.with_scenarios(names, SCENARIOS[:2])))))
     limits = bd.group_bounds(inputs, at)
-    weights = cut_lineage(cp.allocate_coupled(inputs, limits, at, rounds=40, max_rows=n))
+    weights = cut_lineage(cp.allocate_coupled(inputs, limits, at, rounds=20, max_rows=n))
     return au.audit(weights, limits, at)
 
 

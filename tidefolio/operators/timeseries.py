@@ -17,14 +17,19 @@ from tidefolio.operators.groups import with_median
 
 
 def one_row_per_key(df: DataFrame, keys: Sequence[str] = ("date", "code"), prefer: Column | None = None) -> DataFrame:
-    """One row per key; with ``prefer``, the row with the smallest of it."""
-    if prefer is None:
-        return df.dropDuplicates(list(keys))
+    """One row per key: the one with the smallest ``prefer``, by default the smallest row.
+
+    Which row stays does not depend on how the data is partitioned.
+    """
     others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    row = F.struct(*others)
+    kept = F.min(row) if prefer is None else F.min_by(row, prefer)
     return (
         df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*others), prefer).alias("_row"))
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in others])
+        .agg(kept.alias("_row"))
+        .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
     )
 
 

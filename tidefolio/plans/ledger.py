@@ -90,17 +90,31 @@ def _trade(
 
 
 def _with_late_sales(traded: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add sale_date and late_price of waiting sales: the first day they may be sold at a price."""
-    waiting = traded.where(F.col("waiting") >= TINY).select(*keys, "code", "exec_date", "next_exec_date")
-    open_days = prices.where(~F.col("cant_sell") & F.col("price").isNotNull()).select("date", "code", "price")
-    in_time = (F.col("date") > F.col("exec_date")) & (F.col("date") <= F.coalesce("next_exec_date", F.col("date")))
+    """Add sale_date, late_price and late: the first later day a waiting sale may trade at a price.
+
+    Up to the next execution, which ends the wait. Names that do not wait meet
+    no row of the prices.
+    """
+    open_days = prices.where(~F.col("cant_sell") & F.col("price").isNotNull()).select(
+        F.col("code").alias("_code"), F.col("date").alias("_day"), F.col("price").alias("_price")
+    )
+    waits = (
+        (F.col("code") == F.col("_code"))
+        & (F.col("waiting") >= TINY)
+        & (F.col("_day") > F.col("exec_date"))
+        & (F.col("_day") <= F.coalesce("next_exec_date", F.col("_day")))
+    )
+    rest = [c for c in traded.columns if c not in (*keys, "code")]
     found = (
-        waiting.join(open_days, "code")
-        .where(in_time)
+        traded.join(open_days, waits, "left")
         .groupBy(*keys, "code")
-        .agg(F.min("date").alias("sale_date"), F.min_by("price", "date").alias("late_price"))
+        .agg(
+            *[F.first(c).alias(c) for c in rest],
+            F.min("_day").alias("sale_date"),
+            F.min_by("_price", "_day").alias("late_price"),
+        )
     )
-    return traded.join(found, [*keys, "code"], "left").withColumn(
+    return found.withColumn(
         "late", F.when(F.col("sale_date").isNotNull(), F.least("waiting", "shares")).otherwise(0.0)
     )
 
@@ -126,17 +140,17 @@ def run_ledger(
     prices = cut_lineage(ex.trade_prices(panel))
     steps = cut_lineage(_steps(weights, calendar, keys))
     path = new_table_path(spark, "ledger")
-    # one row per execution day: bounded by the calendar
-    dates = [r[0] for r in steps.select("exec_date").distinct().orderBy("exec_date").collect()]
-    for i, day in enumerate(dates):
+    # execution days and the steps before them: calendar rows, not table rows
+    order = steps.groupBy("exec_date").agg(F.collect_set("last_step").alias("last")).orderBy("exec_date").collect()
+    for i, (day, last) in enumerate(order):
         now = steps.where(F.col("exec_date") == F.lit(day))
-        held, cash = _last_state(spark, path, now, i, value, keys, cost_sell)
+        held, cash = _last_state(spark, path, now, last, value, keys, cost_sell)
         targets = weights.join(now.withColumnRenamed("signal_date", "date").select(*keys, "date"), [*keys, "date"])
         today = prices.where(F.col("date") == F.lit(day)).drop("date", "value_price")
         traded = _trade(today, held, cash, targets, keys, cost_buy, cost_sell, max_rows)
         dated = traded.join(now.select(*keys, "exec_date", "next_exec_date"), list(keys))
         _with_late_sales(dated, prices, keys).write.parquet(f"{path}/{i:06d}")
-    ledger = spark.read.parquet(*[f"{path}/{i:06d}" for i in range(len(dates))])
+    ledger = spark.read.parquet(*[f"{path}/{i:06d}" for i in range(len(order))])
     nav = cut_lineage(_daily_values(ledger, steps, weights, calendar, prices, value, cost_sell, keys))
     at = [*keys, "exec_date"]
     trades = ledger.groupBy(*at).agg(*[F.max(c).alias(c) for c in ("turnover", "buy_fail", "sell_defer")])
@@ -157,10 +171,9 @@ def _steps(weights: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> Data
 
 
 def _last_state(
-    spark: SparkSession, path: str, now: DataFrame, step: int, value: float, keys: Sequence[str], cost_sell: float
+    spark: SparkSession, path: str, now: DataFrame, last: Sequence[int], value: float, keys: Sequence[str], cost_sell: float
 ) -> tuple[DataFrame, DataFrame]:
     """Shares and cash before today's trades, late sales up to today included."""
-    last = [r[0] for r in now.select("last_step").distinct().collect() if r[0] is not None]
     fresh = now.where(F.col("last_step").isNull()).select(*keys, F.lit(float(value)).alias("cash"))
     if not last:
         none = fresh.select(*keys, F.lit("").alias("code"), F.lit(0.0).alias("shares")).where(F.lit(False))
