@@ -15,6 +15,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .appName("tidefolio")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small test tables still use every core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", memory)
