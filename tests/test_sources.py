@@ -137,3 +137,27 @@ def test_wide_risk_tables(spark):
     cov = spark.createDataFrame([(d, "Size", 1.0, 0.2), (d, "Bank", 0.4, 2.0)], "rebal_date date, factor string, Size double, Bank double")
     got = {(r.factor_i, r.factor_j): r.cov for r in risk_source.long_covariance(cov).collect()}
     assert got == pytest.approx({("Size", "Size"): 1.0, ("Size", "Bank"): 0.3, ("Bank", "Size"): 0.3, ("Bank", "Bank"): 2.0})
+
+
+def test_summary_is_one_csv(spark, tmp_path):
+    from tidefolio.sources.sinks import write_summary
+
+    path = str(tmp_path / "summary")
+    df = spark.createDataFrame([(0.05, 0.1), (0.08, 0.2)], "in_ic double, ic double").repartition(3)
+    write_summary(df, path)
+    assert len(list((tmp_path / "summary").glob("*.csv"))) == 1
+    assert spark.read.csv(path, header=True).columns == ["in_ic", "ic"]
+
+
+def test_fills(spark):
+    from tidefolio.operators.universe import fill_missing
+
+    df = spark.createDataFrame([(None, None, None, 2.0)], "adv double, industry string, bm_weight double, alpha double")
+    assert tuple(fill_missing(df).first()) == (1e5, "未知", 0.0, 2.0)
+
+
+def test_warehouse_reads_only_selects(spark):
+    from tidefolio.sources.warehouse import read_query
+
+    with pytest.raises(ValueError):
+        read_query(spark, "DROP TABLE x")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidefolio.operators.calendar import trading_calendar
-from tidefolio.plans import proxy
-from tidefolio.session import cut_lineage
+from tidefolio.plans.proxy import load, stored  # noqa: F401
 
 # The panel that plans/proxy.py builds, written for the SQL engine.
 PANEL = """
@@ -69,13 +67,3 @@ def with_panel(body: str, ctes: str = "") -> str:
 def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
-
-def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """Panel, calendar and the bound of names per date."""
-    return proxy.panel(spark, sf_dir), proxy.calendar(spark, sf_dir), proxy.codes(spark, sf_dir)
-
-
-def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """As load(), with the panel written once because the query reads it several times."""
-    panel = cut_lineage(proxy.panel(spark, sf_dir))
-    return panel, cut_lineage(trading_calendar(panel)), proxy.codes(spark, sf_dir)

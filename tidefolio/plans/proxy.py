@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidefolio.functions import fixed as K
 from tidefolio.operators.calendar import trading_calendar
+from tidefolio.session import cut_lineage
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,3 +90,14 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codes(spark: SparkSession, sf_dir: str) -> int:
     """Upper bound of the names on one date, counted from file footers."""
     return table(spark, sf_dir, "supplier").count()
+
+
+def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Panel, calendar and the bound of names per date."""
+    return panel(spark, sf_dir), calendar(spark, sf_dir), codes(spark, sf_dir)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """As load(), with the panel written once because the query reads it several times."""
+    rows = cut_lineage(panel(spark, sf_dir))
+    return rows, cut_lineage(trading_calendar(rows)), codes(spark, sf_dir)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidefolio.catalog.base import stored
 from tidefolio.operators import benchmark as bm, timeseries as ts, universe as uni
 from tidefolio.plans import proxy_risk
+from tidefolio.plans.proxy import stored
 from tidefolio.session import cut_lineage
 from tidefolio.sources.alpha import alpha_asof
 
