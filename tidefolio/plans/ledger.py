@@ -141,11 +141,17 @@ def run_ledger(
     steps = cut_lineage(_steps(weights, calendar, keys))
     path = new_table_path(spark, "ledger")
     # execution days and the steps before them: calendar rows, not table rows
-    order = steps.groupBy("exec_date").agg(F.collect_set("last_step").alias("last")).orderBy("exec_date").collect()
-    for i, (day, last) in enumerate(order):
+    # (an execution day has one signal day, the trading day before it)
+    order = (
+        steps.groupBy("exec_date")
+        .agg(F.max("signal_date").alias("signal"), F.collect_set("last_step").alias("last"))
+        .orderBy("exec_date")
+        .collect()
+    )
+    for i, (day, signal, last) in enumerate(order):
         now = steps.where(F.col("exec_date") == F.lit(day))
         held, cash = _last_state(spark, path, now, last, value, keys, cost_sell)
-        targets = weights.join(now.withColumnRenamed("signal_date", "date").select(*keys, "date"), [*keys, "date"])
+        targets = weights.where(F.col("date") == F.lit(signal)).join(now.select(*keys), list(keys))
         today = prices.where(F.col("date") == F.lit(day)).drop("date", "value_price")
         traded = _trade(today, held, cash, targets, keys, cost_buy, cost_sell, max_rows)
         dated = traded.join(now.select(*keys, "exec_date", "next_exec_date"), list(keys))
