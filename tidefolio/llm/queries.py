@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidefolio.llm import exact_dedup, url_filter
+from tidefolio.llm import byte_bpe, exact_dedup, language_id, quality, url_filter
 from tidefolio.llm.text import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,11 @@ def query(sql: str | None = None):
     return register
 
 
+def fold(parts: int) -> Column:
+    """Remainder of crc32 of the doc_id's text, which deals documents to training and held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,3 +96,25 @@ def _url_sql() -> str:
 @query(_url_sql())
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.classify(docs.select("doc_id", "text"), labels, "quality", fold(3) != 1)
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.round_trip(docs, byte_bpe.public_vocabulary()).select("doc_id", *byte_bpe.digests())
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.train(docs, fold(5) != 0)
+    return language_id.predict(docs.select("doc_id", "text"), known).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
