@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefolio.llm.text import others, schema_with
+
 MEMO = 250_000  # pre-tokens a worker remembers at least, twice as many at most
 LOAD = 2  # keys per bucket of the perfect hash
 OUT = 1 << 22  # bytes of text per result batch
@@ -166,10 +168,6 @@ class Encoder:
         return out
 
 
-def _schema(docs: DataFrame, rest: list[str], more: str) -> str:
-    return ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [more])
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs and the text's token ids as an array; a column named `ids` is replaced.
 
@@ -177,7 +175,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     text. Rows are encoded alone and whole; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in docs.columns if c != ids]
+    rest = others(docs, (ids.lower(),))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -194,13 +192,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
                     yield pa.record_batch([*held, lists], [*rest, ids])
                     start, size, parts = row + 1, 0, []
 
-    return docs.select(*rest).mapInArrow(work, _schema(docs, rest, f"`{ids}` array<int>"))
+    return docs.select(*rest).mapInArrow(work, schema_with(docs, rest, f"`{ids}` array<int>"))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of docs and the bytes of the token ids; a column named `out` is replaced. Null ids decode to nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.tokens)
-    rest = [c for c in docs.columns if c != out]
+    rest = others(docs, (out.lower(),))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
@@ -215,7 +213,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
                     yield pa.record_batch([*held, pa.array(parts, pa.binary())], [*rest, out])
                     start, size, parts = row + 1, 0, []
 
-    return docs.select(*rest).mapInArrow(work, _schema(docs, rest, f"`{out}` binary"))
+    return docs.select(*rest).mapInArrow(work, schema_with(docs, rest, f"`{out}` binary"))
 
 
 def digests() -> list[Column]:

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefolio.llm.text import others, schema_with
 from tidefolio.session import cut_lineage
 
 SIZES = (1, 2, 3)
@@ -127,8 +128,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     judged alone, so repeated rows agree and an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["lang_pred string", "score double"])
+    rest = others(docs, ("lang_pred", "score"))
+    schema = schema_with(docs, rest, "lang_pred string, score double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

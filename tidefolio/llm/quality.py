@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefolio.llm.text import mix64
+from tidefolio.llm.text import mix64, others, schema_with
 from tidefolio.llm.words import slices, word_hashes
 
 BUCKETS = 1 << 16  # of words, and as many of n-grams
@@ -140,8 +140,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     and an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "score"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["score double"])
+    rest = others(docs, ("score",))
+    schema = schema_with(docs, rest, "score double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

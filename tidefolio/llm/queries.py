@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.llm import byte_bpe, exact_dedup, language_id, quality, url_filter
+from tidefolio.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, simhash, url_filter
 from tidefolio.llm.text import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,38 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), known).select(
         "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query(
+    rf"""
+    WITH doc AS (SELECT doc_id, row_number() OVER () AS r,
+                        regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (SELECT CAST(item_id AS VARCHAR) AS item,
+                    regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    size AS (SELECT *, least(len(w), {decontaminate.WINDOW}) AS n FROM item WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM size)),
+    cut AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+    met AS (SELECT r, i, n, item FROM cut JOIN win USING (n, g)),
+    hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM met) GROUP BY r),
+    its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM doc LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
+)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query()
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -23,23 +22,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(one_byte, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def values(column) -> Iterator[bytes]:
-    """Bytes of each string or binary of an Arrow column, null as empty, without a list of all."""
-    for v in column:
-        b = v.as_buffer()
-        yield b"" if b is None else b.to_pybytes()
+def others(df: DataFrame, replaced: tuple[str, ...]) -> list[str]:
+    """Columns of df but those an operator writes anew; names differ by more than case."""
+    return [c for c in df.columns if c.lower() not in replaced]
 
 
-def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of consecutive texts of together at most `most` bytes; a longer text is alone."""
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += int(n)
-    if start < len(sizes):
-        yield start, len(sizes)
+def schema_with(df: DataFrame, kept: list[str], ddl: str = "") -> StructType:
+    """Schema of the kept columns followed by those of the DDL text."""
+    return StructType([df.schema[c] for c in kept] + (StructType.fromDDL(ddl).fields if ddl else []))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
