@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, simhash, url_filter
+from tidefolio.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, quality, simhash, substring_dedup, url_filter, warc
 from tidefolio.llm.text import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,49 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    rf"""
+    WITH doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT r, i, array_to_string(list_slice(w, i, i + {substring_dedup.LENGTH - 1}), ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - {substring_dedup.LENGTH - 2})) AS i FROM doc WHERE len(w) >= {substring_dedup.LENGTH})),
+    rep AS (SELECT r, i FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + {substring_dedup.LENGTH})) AS k FROM rep),
+    lost AS (SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ks, k)) END, ' ')) AS kept_sha256
+    FROM doc LEFT JOIN lost USING (r)"""
+)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def _base32_sql(hex_digest: str) -> str:
+    """Base32 of 40 hex digits: five of them make four characters."""
+    parts = []
+    for i in range(8):
+        number = f"CAST('0x' || substr({hex_digest}, {5 * i + 1}, 5) AS INTEGER)"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({number} >> {shift}) & 31), 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(parts)
+
+
+@query(
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    q AS (SELECT page_id, strlen(body) AS n, sha1(body) AS d,
+                 min(page_id) OVER (PARTITION BY body) AS least FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_base32_sql("d")} AS payload_digest,
+           CASE WHEN page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
+    FROM q"""
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")

@@ -234,3 +234,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = cut_lineage(named.join(least, "component").select("fp", "component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
+    """Of each component the documents with its least doc_id, with all their columns."""
+    lost = near_duplicates(docs, size, most).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = lost.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left_anti")
