@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefolio.operators import groups as g
+from tidefolio.operators.crosssection import winsorise
 
 
 @pytest.fixture(scope="module")
@@ -31,14 +32,54 @@ def _same(a, b, by=("date", "code")):
     pd.testing.assert_frame_equal(x[cols], y[cols], check_dtype=False, rtol=1e-12)
 
 
-def test_largest_group(frame):
-    want = frame.toPandas().groupby("date").size().max()
-    assert g.largest_group(frame, ["date"]) == want
+@pytest.fixture
+def gaps(spark):
+    """NULL keys, NULL values, groups without a known value, and values that start with NULLs."""
+    rows = [(d, f"c{i}", v) for d in ("d1", None) for i, v in enumerate([None, None, 2.0, 1.0, 2.0, None, 5.0])]
+    rows += [("d2", "c0", None), ("d2", "c1", None), ("d3", "c0", 4.0)]
+    return spark.createDataFrame(rows, "date string, code string, v double").repartition(3)
+
+
+def _plans(spark, call):
+    spark.conf.set(g.LIMIT_KEY, "3")
+    split = [call(None), call(7)]
+    rows = [[tuple(r) for r in df.collect()] for df in split]
+    spark.conf.unset(g.LIMIT_KEY)
+    rows.append([tuple(r) for r in call(7).collect()])
+    return [sorted(r, key=repr) for r in rows]
+
+
+CALLS = {
+    "aggregates": lambda df, n: g.with_aggregates(df, ["date"], {"s": F.sum("v"), "n": F.count("v")}, n),
+    "running_sums": lambda df, n: g.running_sums(df, ["date"], [F.col("code")], {"r": F.col("v")}, n),
+    "row_numbers": lambda df, n: g.row_numbers(df, ["date"], [F.col("v").desc(), F.col("code")], "rn", n),
+    "average_ranks": lambda df, n: g.average_ranks(df, ["date"], {"r": "v"}, n),
+    "quantiles": lambda df, n: g.quantiles(df, ["date"], "v", {"lo": 0.1, "mid": 0.5}, n),
+    "median": lambda df, n: g.with_median(df, ["date"], "v", "mid", n),
+    "winsorise": lambda df, n: winsorise(df, "v", "w", 0.1, max_rows=n),
+}
+
+
+@pytest.mark.parametrize("name", CALLS)
+def test_plans_agree_on_nulls(spark, gaps, name):
+    none, split, window = _plans(spark, lambda n: CALLS[name](gaps, n))
+    assert none == split == window and window
+
+
+def test_null_rules(spark, gaps):
+    ranks = {(r["date"], r["code"]): r["r"] for r in g.average_ranks(gaps, ["date"], {"r": "v"}, 7).collect()}
+    assert [ranks[(None, f"c{i}")] for i in range(7)] == [None, None, 2.5, 1.0, 2.5, None, 4.0]
+    sums = {(r["date"], r["code"]): r["r"] for r in CALLS["running_sums"](gaps, None).collect()}
+    assert [sums[(None, f"c{i}")] for i in range(7)] == [None, None, 2.0, 3.0, 5.0, 5.0, 10.0]
+
+
+def test_nothing_is_counted_without_a_bound(spark, gaps):
+    assert not g.fits_one_task(gaps, None) and g.fits_one_task(gaps, 7)
 
 
 def test_aggregates(frame, split):
     aggs = {"s": F.sum("v"), "m": F.avg("v"), "n": F.count("v")}
-    _same(g.with_aggregates(frame, ["date"], aggs), g.with_aggregates(frame, ["date"], aggs, 1))
+    _same(g.with_aggregates(frame, ["date"], aggs, 240), g.with_aggregates(frame, ["date"], aggs, 1))
 
 
 def test_row_numbers(frame, split):

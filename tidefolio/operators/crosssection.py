@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidefolio.functions.cols import ratio
-from tidefolio.operators.groups import fits_one_task, quantiles, row_numbers, with_aggregates
+from tidefolio.operators.groups import fits_one_task, join_groups, quantiles, row_numbers, with_aggregates
 from tidefolio.session import cut_lineage
 
 DATE = ("date",)
@@ -60,14 +60,14 @@ def winsorise(
 ) -> DataFrame:
     """Add the value clipped to the group's tail quantiles."""
     probs = {"_lo": tail, "_hi": 1 - tail}
-    if fits_one_task(df, group, max_rows):
+    if fits_one_task(df, max_rows):
         both = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
         out = with_aggregates(df, group, {"_q": both}, max_rows).withColumns(
             {n: F.col("_q")[i] for i, n in enumerate(probs)}
         ).drop("_q")
     else:
         df = cut_lineage(df)
-        out = df.join(quantiles(df, group, value, probs, max_rows), list(group), "left")
+        out = join_groups(df, quantiles(df, group, value, probs, max_rows), group)
     clipped = F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), F.col("_hi")), F.col("_lo")))
     return out.withColumn(name, clipped).drop("_lo", "_hi")
 

@@ -5,11 +5,14 @@ names, and a plain window over it is the best plan: one shuffle, nothing read
 twice. It may also be the hot key that holds a third of the table. Each
 function here therefore takes ``max_rows``, an upper bound of the rows in one
 group. Up to the limit of ``spark.tidefolio.maxRowsPerTask`` the window plan is
-used. Beyond it the group is split: aggregates are partially aggregated before
-the shuffle and joined back, and anything that needs an order is sorted by
-range over all tasks, numbered within each range and shifted by the totals of
-the ranges before it. With ``max_rows=None`` the largest group is counted
-first.
+used. Beyond it, or without a bound, the group is split: aggregates are
+partially aggregated before the shuffle and joined back, and anything that
+needs an order is sorted by range over all tasks, numbered within each range
+and shifted by the totals of the ranges before it.
+
+Both plans give the same rows: rows whose group key is NULL are one group, a
+NULL value has no rank and counts in no other's, and a running sum is NULL
+until the first known value.
 """
 
 from __future__ import annotations
@@ -29,27 +32,28 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_KEY, str(DEFAULT_LIMIT)))
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group: one partially aggregated count."""
-    row = df.groupBy(*group).count().agg(F.max("count")).first()
-    return row[0] or 0
+def fits_one_task(df: DataFrame, max_rows: int | None) -> bool:
+    """Whether the caller's bound of a group's rows allows the window plan; nothing is counted."""
+    return max_rows is not None and max_rows <= row_limit(df)
 
 
-def fits_one_task(df: DataFrame, group: Sequence[str], max_rows: int | None) -> bool:
-    rows = largest_group(df, group) if max_rows is None else max_rows
-    return rows <= row_limit(df)
+def join_groups(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on the keys, NULL keys meeting each other; the keys stay those of df."""
+    right = found.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(right, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def with_aggregates(
     df: DataFrame, group: Sequence[str], aggs: Mapping[str, Column], max_rows: int | None = None
 ) -> DataFrame:
     """Add aggregates of the row's group as columns."""
-    if fits_one_task(df, group, max_rows):
+    if fits_one_task(df, max_rows):
         w = Window.partitionBy(*group)
         return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
     df = cut_lineage(df)
     totals = df.groupBy(*group).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return df.join(totals, list(group), "left")
+    return join_groups(df, totals, group)
 
 
 def _by_range(df: DataFrame, group: Sequence[str], order: Sequence[Column], max_rows: int | None) -> DataFrame:
@@ -76,7 +80,7 @@ def running_sums(
 ) -> DataFrame:
     """Add running totals (this row included); ``order`` must have no ties."""
     full = (Window.unboundedPreceding, Window.currentRow)
-    if fits_one_task(df, group, max_rows):
+    if fits_one_task(df, max_rows):
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*full)
         return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
 
@@ -86,13 +90,13 @@ def running_sums(
     shifts = (
         ranged.groupBy(*keys)
         .agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
-        .select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+        .select(*keys, *[F.sum(f"_t_{n}").over(before).alias(f"_s_{n}") for n in sums])
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*full)
+    own = ranged.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()})
     return (
-        ranged.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()})
-        .join(shifts, keys, "left")
-        .withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_s_{n}") for n in sums})
+        join_groups(own, shifts, keys)
+        .withColumns({n: F.coalesce(F.col(n) + F.col(f"_s_{n}"), F.col(n), F.col(f"_s_{n}")) for n in sums})
         .drop("_range", *[f"_s_{n}" for n in sums])
     )
 
@@ -101,7 +105,7 @@ def row_numbers(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, max_rows: int | None = None
 ) -> DataFrame:
     """Add the position within the group, from 1; ``order`` must have no ties."""
-    if fits_one_task(df, group, max_rows):
+    if fits_one_task(df, max_rows):
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     return running_sums(df, group, order, {name: F.lit(1).cast("long")}, max_rows)
@@ -110,22 +114,23 @@ def row_numbers(
 def average_ranks(
     df: DataFrame, group: Sequence[str], values: Mapping[str, str], max_rows: int | None = None
 ) -> DataFrame:
-    """Add ranks from 1 with ties at their mean; ``values``: rank name -> column."""
-    if fits_one_task(df, group, max_rows):
+    """Add ranks from 1 with ties at their mean, NULL for NULL; ``values``: rank name -> column."""
+    if fits_one_task(df, max_rows):
         # a date's rows are already together, so the tie count costs no shuffle
         for name, value in values.items():
-            lower = F.rank().over(Window.partitionBy(*group).orderBy(value))
+            lower = F.rank().over(Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last()))
             ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-            df = df.withColumn(name, lower + (ties - 1) / F.lit(2.0))
+            df = df.withColumn(name, F.when(F.col(value).isNotNull(), lower + (ties - 1) / F.lit(2.0)))
         return df
     df = cut_lineage(df)
     for name, value in values.items():
-        distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+        known = df.where(F.col(value).isNotNull())
+        distinct = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
         upto = running_sums(distinct, group, [F.col(value)], {"_upto": F.col("_n")}, max_rows)
         ranks = upto.select(
             *group, value, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name)
         )
-        df = df.join(ranks, [*group, value], "left")
+        df = join_groups(df, ranks, [*group, value])
     return df
 
 
@@ -138,7 +143,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, linear between neighbours, one row per group."""
     rows = df.where(F.col(value).isNotNull())
-    if fits_one_task(rows, group, max_rows):
+    if fits_one_task(rows, max_rows):
         found = rows.groupBy(*group).agg(
             F.percentile(value, F.array(*[F.lit(p) for p in probs.values()])).alias("_q")
         )
@@ -146,7 +151,7 @@ def quantiles(
 
     distinct = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = cut_lineage(running_sums(distinct, group, [F.col(value)], {"_upto": F.col("_n")}, max_rows))
-    sized = upto.join(upto.groupBy(*group).agg(F.max("_upto").alias("_size")), list(group))
+    sized = join_groups(upto, upto.groupBy(*group).agg(F.max("_upto").alias("_size")), group)
     picks, out = [], []
     for i, (name, p) in enumerate(probs.items()):
         place = (F.col("_size") - 1) * F.lit(float(p))
@@ -163,10 +168,10 @@ def with_median(
     df: DataFrame, group: Sequence[str], value: str, name: str, max_rows: int | None = None
 ) -> DataFrame:
     """Add the median of the group's known values."""
-    if fits_one_task(df, group, max_rows):
+    if fits_one_task(df, max_rows):
         return df.withColumn(name, F.median(value).over(Window.partitionBy(*group)))
     df = cut_lineage(df)
-    return df.join(quantiles(df, group, value, {name: 0.5}, max_rows), list(group), "left")
+    return join_groups(df, quantiles(df, group, value, {name: 0.5}, max_rows), group)
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, salt: str = "code") -> DataFrame:
