@@ -122,6 +122,55 @@ def test_group_limits_hold_after_pricing(spark, market):
         assert by_kind[(s, "names")] < 1e-6 and by_kind[(s, "banned")] == 0
 
 
+def test_groups_that_still_break_a_limit_are_not_called_optimal(spark, market):
+    names, exposures = market
+    scenarios = [
+        bd.scenario("impossible", "alpha_max", weight_upper=0.05, penalty=5.0, industry_upper=0.05, style_bound=None),
+        bd.scenario("easy", "alpha_max", weight_upper=0.05, penalty=5.0, industry_upper=1.0, style_bound=None),
+    ]
+    inputs = al.allocation_inputs(bd.tradable_alpha(bd.name_bounds(bd.with_scenarios(names, scenarios))))
+    limits = bd.group_bounds(inputs)
+    got = cp.allocate_coupled(inputs, limits, rounds=3).select("scenario_id", "status_code").distinct().collect()
+    assert {tuple(r) for r in got} == {("impossible", cp.NOT_CONVERGED), ("easy", al.OPTIMAL)}
+
+
+def test_defaults_and_unweighted_cost(spark, market):
+    names, _ = market
+    plain = bd.scenario("long", "alpha_max")
+    assert (plain["weight_upper"], plain["industry_upper"], plain["style_bound"]) == (0.02, 0.20, 1.0)
+    scenarios = [bd.scenario(s, "alpha_max", turnover_penalty=0.1, liquidity_weighted_cost=s == "w") for s in ("w", "u")]
+    rows = al.allocation_inputs(bd.with_scenarios(names.withColumn("cost", F.lit(3.0)), scenarios))
+    got = {tuple(r) for r in rows.select("scenario_id", F.round("kappa", 9)).distinct().collect()}
+    assert got == {("w", 0.3), ("u", 0.1)}
+
+
+def test_a_failed_date_keeps_the_last_weights_and_a_failed_start_has_none(spark):
+    from tidefolio.plans.rebalance import _run_carried
+
+    days = [date(2024, 1, d) for d in (2, 3, 4, 5)]
+    rows = [(s, d, c, None) for s in ("s", "t") for d in days for c in ("a", "b")]
+    spread = spark.createDataFrame(rows, "scenario_id string, date date, code string, prev_weight double")
+    seen = []
+
+    def solve(today):
+        seen.append({(r.scenario_id, r.code): r.prev_weight for r in today.collect()})
+        fails = (F.col("scenario_id") == "s") & F.col("date").isin(days[0], days[2])
+        weight = F.when(F.col("code") == "a", 0.75).otherwise(0.25)
+        return today.withColumns(
+            {"weight": F.when(fails, 0.0).otherwise(weight), "status_code": F.when(fails, "infeasible").otherwise(al.OPTIMAL)}
+        )
+
+    weights, statuses = _run_carried(spread, spread, solve, 10)
+    got = {(r.scenario_id, r.date, r.code): r.weight for r in weights.collect()}
+    want = {("t", d, c): w for d in days for c, w in (("a", 0.75), ("b", 0.25))}
+    want |= {("s", d, c): w for d in days[1:] for c, w in (("a", 0.75), ("b", 0.25))}
+    assert got == want
+    assert {tuple(r) for r in statuses.where("scenario_id = 's'").collect()} == {
+        ("s", d, "infeasible" if d in (days[0], days[2]) else al.OPTIMAL) for d in days
+    }
+    assert seen[1][("s", "a")] is None and seen[2][("s", "a")] == 0.75 and seen[3][("s", "a")] == 0.75
+
+
 def test_scenarios_reject_unknown_parameters():
     with pytest.raises(ValueError):
         bd.scenario("x", "other")

@@ -101,3 +101,30 @@ def test_stronger_signals_measure_stronger(panel):
     by = out.set_index("in_ic")
     assert by.loc[0.6, "ls_ann"] > by.loc[0.3, "ls_ann"] > 0
     assert (by["n_seeds"] == 2).all() and set(by["sweep"]) == {"ic_icir", "decay"}
+
+
+def test_smoothing_over_several_blocks(spark):
+    """Runs longer than a block, with a gap, a NULL and two decays, against a plain loop."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for code, decay in (("a", 0.9), ("b", 0.0), ("c", 0.97)):
+        f = None
+        for day in range(200):
+            if code == "a" and day == 150:
+                f = None
+                continue
+            s = None if code == "c" and day == 140 else float(rng.normal())
+            if f is None:
+                f = s
+            else:
+                f = None if s is None else decay * f + (1 - decay * decay) ** 0.5 * s
+            if code == "c" and day > 140:
+                f = None
+            rows.append((code, day, decay, s))
+            want[(code, day)] = f
+            if f is None and not (code == "c" and day >= 140):
+                raise AssertionError
+    df = spark.createDataFrame(rows, "code string, day int, decay double, s double")
+    got = {(r.code, r.day): r.f for r in ts.smooth(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-12 for k, v in want.items())

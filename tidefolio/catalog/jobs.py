@@ -1,17 +1,12 @@
-"""Whole jobs: rebalancing, coupled limits, the share ledger."""
+"""Whole jobs: rebalancing."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidefolio.catalog.allocation import NAMES, SCENARIOS
 from tidefolio.catalog.base import rounded, stored, with_panel
-from tidefolio.catalog.performance import _valued, _weights
 from tidefolio.catalog.registry import query
-from tidefolio.operators import audit as au, bounds as bd, coupled as cp, risk as rk
-from tidefolio.plans import ledger, proxy_names, proxy_risk, rebalance
-from tidefolio.operators import allocate as al
-from tidefolio.session import cut_lineage
+from tidefolio.operators import audit as au
+from tidefolio.plans import proxy_risk, rebalance
 
 FIRST = NAMES.replace("d.day % 6 = 4", "d.day % 6 = 0").rstrip() + """,
 sn AS (SELECT * FROM (VALUES ('enhanced', true, 0.2::DOUBLE, 10.0::DOUBLE), ('long_only', false, 0.2, 8.0), ('too_tight', false, 0.002, 0.05)) t(scenario_id, enh, cap, gamma)),
@@ -52,31 +47,3 @@ def rebalance_job_carried(spark, sf):
         panel, days, alpha, SCENARIOS, "hs300", every=12, carry=True, max_rows=n, top_n=60
     )
     return au.turnover(weights).join(statuses, ["scenario_id", "date"])
-
-
-@query()
-def coupled_weights(spark, sf):
-    names, panel, days, n = proxy_names.names(spark, sf, every=24, first=10)
-    exposures = cut_lineage(proxy_risk.exposures(panel, days, n))
-    cov = proxy_risk.covariance(exposures)
-    dates = cut_lineage(rk.risk_dates(names.select("date").distinct(), cov))
-    at = cut_lineage(rk.exposures_asof(names, dates, exposures))
-    inputs = cut_lineage(al.allocation_inputs(bd.tradable_alpha(bd.name_bounds(bd.with_scenarios(names, SCENARIOS[:2])))))
-    limits = bd.group_bounds(inputs, at)
-    weights = cut_lineage(cp.allocate_coupled(inputs, limits, at, rounds=20, max_rows=n))
-    return au.audit(weights, limits, at)
-
-
-@query()
-def ledger_backtest(spark, sf):
-    panel, days, n = _valued(spark, sf)
-    nav, _, _ = ledger.run_ledger(cut_lineage(_weights(panel, days, n)), days, panel, max_rows=n)
-    return nav
-
-
-@query()
-def ledger_statistics(spark, sf):
-    panel, days, n = _valued(spark, sf)
-    _, trades, stats = ledger.run_ledger(cut_lineage(_weights(panel, days, n)), days, panel, max_rows=n)
-    mean = trades.groupBy("scenario_id").agg(F.avg("turnover").alias("mean_turnover"))
-    return stats.join(mean, "scenario_id")

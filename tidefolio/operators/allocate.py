@@ -139,15 +139,17 @@ def allocation_inputs(names: DataFrame) -> DataFrame:
     """Add ref, gamma and kappa from the scenario parameters.
 
     Index-enhanced portfolios deviate from the benchmark, long-only ones from
-    zero. ``cost`` (default 1, at least 0) weights the turnover penalty.
+    zero. ``cost`` (default 1, at least 0) weights the turnover penalty unless
+    the scenario's ``liquidity_weighted_cost`` is false.
     """
     cost = F.greatest(F.coalesce("cost", F.lit(1.0)), F.lit(0.0)) if "cost" in names.columns else F.lit(1.0)
+    weight = F.when(F.col("liquidity_weighted_cost") == 0, 1.0).otherwise(cost) if "liquidity_weighted_cost" in names.columns else cost
     bm = F.coalesce("bm_weight", F.lit(0.0)) if "bm_weight" in names.columns else F.lit(0.0)
     return names.withColumns(
         {
             "ref": F.when(F.col("strategy") == "index_enhance", bm).otherwise(0.0),
             "gamma": F.col("penalty"),
-            "kappa": F.coalesce("turnover_penalty", F.lit(0.0)) * cost,
+            "kappa": F.coalesce("turnover_penalty", F.lit(0.0)) * weight,
         }
     )
 

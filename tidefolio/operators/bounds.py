@@ -14,16 +14,17 @@ from tidefolio.functions.cols import bound_for, bounds_map, is_banned
 
 # Parameter defaults of the two strategies.
 LONG_ONLY = {
-    "strategy": "alpha_max", "weight_upper": 0.05, "industry_upper": 0.20, "min_constituent_ratio": 0.0,
-    "penalty": 0.05, "style_bound": None, "max_turnover": None, "turnover_penalty": 0.0,
+    "strategy": "alpha_max", "weight_upper": 0.02, "industry_upper": 0.20, "min_constituent_ratio": 0.0,
+    "penalty": 0.05, "style_bound": 1.0, "max_turnover": None, "turnover_penalty": 0.0, "liquidity_weighted_cost": True,
 }
 INDEX_ENHANCED = {
     "strategy": "index_enhance", "weight_upper": 0.05, "industry_active_bound": 0.05, "min_constituent_ratio": 0.80,
     "penalty": 10.0, "style_bound": 0.30, "max_turnover": 0.20, "turnover_penalty": 0.0, "weight_diff_l2_bound": None,
+    "liquidity_weighted_cost": True,
 }
 NUMBERS = (
     "weight_upper", "industry_upper", "industry_active_bound", "min_constituent_ratio", "penalty",
-    "max_turnover", "turnover_penalty", "weight_diff_l2_bound",
+    "max_turnover", "turnover_penalty", "weight_diff_l2_bound", "liquidity_weighted_cost",
 )
 
 

@@ -18,6 +18,7 @@ from tidefolio.functions import fixed as K
 from tidefolio.operators.allocate import KEYS, OPTIMAL, allocate
 from tidefolio.session import cut_lineage
 
+NOT_CONVERGED = "not_converged"
 LINEAR = ("industry", "constituent", "style")
 
 
@@ -99,9 +100,11 @@ def allocate_coupled(
 ) -> DataFrame:
     """Add ``weight`` and ``status_code`` under the limits of group_bounds.
 
-    Stops once no scaled limit is broken by more than ``tolerance``. Steps are
-    2 gamma over a bound of the squared norm of all limits; accelerated, and
-    restarted where a price turns back.
+    A group leaves the rounds once no scaled limit of it is broken by more than
+    ``tolerance``. Groups that still break one after the last round keep their
+    weights under the status ``not_converged``; limits that contradict each
+    other end so too. Steps are 2 gamma over a bound of the squared norm of all
+    limits; accelerated, and restarted where a price turns back.
     """
     at = list(keys)
     row = [*at, "kind", "key"]
@@ -124,15 +127,22 @@ def allocate_coupled(
             F.lit(0).alias("age"),
         )
     )
+    done = prices.where(F.lit(False)).withColumn("used", zero)
+    still = cut_lineage(prices.select(*at).distinct())
     for _ in range(rounds):
-        weights = allocate(_priced_names(names, coefs, prices, keys), keys, max_rows)
-        moved = _move(prices, _sums(weights.where(F.col("status_code") == OPTIMAL), coefs, keys), row)
-        prices = cut_lineage(moved)
-        # one number: the largest scaled violation
-        if (prices.agg(F.max("gap")).first()[0] or 0.0) < tolerance:
+        live = names.join(still, at, "left_semi")
+        weights = allocate(_priced_names(live, coefs, prices, keys), keys, max_rows)
+        moved = cut_lineage(_move(prices, _sums(weights.where(F.col("status_code") == OPTIMAL), coefs, keys), row))
+        still = cut_lineage(moved.groupBy(*at).agg(F.max("gap").alias("_gap")).where(F.col("_gap") >= tolerance).select(*at))
+        done = done.unionByName(moved.join(still, at, "left_anti"))
+        prices = cut_lineage(moved.join(still, at, "left_semi"))
+        if prices.isEmpty():
             break
-    out = allocate(_priced_names(names, coefs, prices.withColumn("at_price", F.col("used")), keys), keys, max_rows)
-    kept = out.drop("alpha", "kappa", "gamma")
+    last = done.unionByName(prices, allowMissingColumns=True)
+    out = allocate(_priced_names(names, coefs, last.withColumn("at_price", F.col("used")), keys), keys, max_rows)
+    kept = out.drop("alpha", "kappa", "gamma").join(still.withColumn("_open", F.lit(True)), at, "left")
+    late = F.col("_open") & (F.col("status_code") == OPTIMAL)
+    kept = kept.withColumn("status_code", F.when(late, F.lit(NOT_CONVERGED)).otherwise(F.col("status_code"))).drop("_open")
     return kept.join(names.select(*at, "code", "alpha", "kappa", "gamma"), [*at, "code"])
 
 

@@ -4,7 +4,7 @@ A signal of date T is traded at the average price of the next trading day and
 valued at closes until the next trade. All of it is set-based: weights are
 fanned out over the days they are in force and meet prices in an equi join on
 (date, code). Post-trade weights are taken as the targets, so a blocked trade
-changes only its own period; plans/ledger.py carries shares and cash forward.
+changes only its own period; what a blocked order leaves is not carried on.
 """
 
 from __future__ import annotations
@@ -188,15 +188,16 @@ def deferred_sales(orders: DataFrame, prices: DataFrame, keys: Sequence[str] = K
     waiting = orders.where((F.col("side") == "sell") & F.col("blocked") & F.col("priced")).select(
         *keys, "exec_date", "next_exec_date", "code"
     )
-    open_days = prices.where(~F.col("cant_sell") & F.col("price").isNotNull()).select("date", "code")
-    in_time = (F.col("date") > F.col("exec_date")) & (F.col("date") <= F.coalesce("next_exec_date", F.col("date")))
-    found = (
-        waiting.join(open_days, "code")
-        .where(in_time)
-        .groupBy(*keys, "exec_date", "code")
-        .agg(F.min("date").alias("sale_date"))
+    # the nearest later open day of each day, once per (code, date); a waiting sale has a price row on its own day
+    later = Window.partitionBy("code").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    open_day = F.when(~F.col("cant_sell") & F.col("price").isNotNull(), F.col("date"))
+    next_open = prices.select(
+        F.col("date").alias("exec_date"), "code", F.last(open_day, ignorenulls=True).over(later).alias("_open")
+    )
+    in_time = F.col("_open") <= F.coalesce("next_exec_date", F.col("_open"))
+    return waiting.join(next_open, ["exec_date", "code"], "left").select(
+        *keys, "exec_date", "code", F.when(in_time, F.col("_open")).alias("sale_date")
     )
-    return waiting.select(*keys, "exec_date", "code").join(found, [*keys, "exec_date", "code"], "left")
 
 
 def execution_statistics(orders: DataFrame, values: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

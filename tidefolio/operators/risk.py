@@ -149,18 +149,17 @@ def risk_decomposition(
     are first summed to a few dozen factor exposures per date; only those
     meet the covariance.
     """
-    e = factor_exposure(weights, exposures, weight, keys)
     at = [*keys, "date"]
-    left = e.select(*at, F.col("factor").alias("factor_i"), F.col("exposure").alias("_ei"))
-    right = e.select(*at, F.col("factor").alias("factor_j"), F.col("exposure").alias("_ej"))
+    # a map of the few dozen factors of a date, so that holdings meet exposures once
+    sums = factor_exposure(weights, exposures, weight, keys).groupBy(*at).agg(
+        F.map_from_entries(F.collect_list(F.struct("factor", "exposure"))).alias("_e")
+    )
+    e = F.col("_e")
     pairs = (
-        left.join(F.broadcast(dates), "date")
-        .join(cov, ["rebal_date", "factor_i"])
-        .groupBy(*at, "factor_j")
-        .agg(F.sum(F.col("_ei") * F.col("cov")).alias("_fe"))
-        .join(right, [*at, "factor_j"])
+        sums.join(F.broadcast(dates), "date")
+        .join(cov, "rebal_date")
         .groupBy(*at)
-        .agg(F.sum(F.col("_fe") * F.col("_ej")).alias("factor_risk"))
+        .agg(F.sum(e[F.col("factor_i")] * F.col("cov") * e[F.col("factor_j")]).alias("factor_risk"))
     )
     own = (
         weights.where(F.col(weight) != 0)

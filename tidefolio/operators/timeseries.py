@@ -15,6 +15,8 @@ from tidefolio.functions.cols import ratio
 from tidefolio.operators.calendar import at_offset, with_day
 from tidefolio.operators.groups import with_median
 
+FOLD = 64
+
 
 def one_row_per_key(df: DataFrame, keys: Sequence[str] = ("date", "code"), prefer: Column | None = None) -> DataFrame:
     """One row per key: the one with the smallest ``prefer``, by default the smallest row.
@@ -129,26 +131,31 @@ def smooth(signal: DataFrame, keys: Sequence[str] = ("code",), decay: str = "dec
 
     A key that misses a day starts again from s. Needs the columns ``day`` and
     ``decay``; a decay of 0 keeps s. A run is folded as one array, which is no
-    longer than the calendar.
+    longer than the calendar, in blocks of 64 days: a growing array is copied
+    within its block only.
     """
     by_key = Window.partitionBy(*keys, decay).orderBy("day")
     run = F.col("day") - F.row_number().over(by_key)
     others = [c for c in signal.columns if c not in (*keys, decay)]
     rows = F.sort_array(F.collect_list(F.struct("day", *[c for c in others if c != "day"])))
+    d = F.col(decay)
+
+    def day(done: Column, row: Column) -> Column:
+        f = F.when(done["n"] == 0, row[value]).otherwise(d * done["f"] + F.sqrt(1 - d * d) * row[value])
+        return F.struct((done["n"] + 1).alias("n"), f.alias("f"), F.concat(done["out"], F.array(f)).alias("out"))
 
-    def step(done: Column, row: Column) -> Column:
-        d = F.col(decay)
-        fresh = row[value]
-        f = F.when(F.size(done) == 0, fresh).otherwise(
-            d * F.get(done, F.size(done) - 1) + F.sqrt(1 - d * d) * fresh
-        )
-        return F.concat(done, F.array(f))
+    def block(done: Column, i: Column) -> Column:
+        start = F.struct(done["n"].alias("n"), done["f"].alias("f"), F.expr("cast(array() as array<double>)").alias("out"))
+        end = F.aggregate(F.slice("_rows", i * FOLD + 1, FOLD), start, day)
+        return F.struct(end["n"].alias("n"), end["f"].alias("f"), F.concat(done["outs"], F.array(end["out"])).alias("outs"))
 
+    empty = F.expr("named_struct('n', 0, 'f', cast(null as double), 'outs', cast(array() as array<array<double>>))")
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / FOLD).cast("int"))
     folded = (
         signal.withColumn("_run", run)
         .groupBy(*keys, decay, "_run")
         .agg(rows.alias("_rows"))
-        .withColumn("_f", F.aggregate("_rows", F.expr("cast(array() as array<double>)"), step))
+        .withColumn("_f", F.flatten(F.aggregate(blocks, empty, block)["outs"]))
     )
     return (
         folded.select(*keys, decay, F.explode(F.arrays_zip("_rows", "_f")).alias("_z"))

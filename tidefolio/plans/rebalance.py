@@ -78,14 +78,16 @@ def run_rebalance(
     hold. Without ``carry`` no date depends on another and all are one job.
     With it each date starts from the last feasible weights, so dates follow
     one another, one job per date over all scenarios; an infeasible date keeps
-    the last weights on today's names. ``panel`` should be a stored table.
+    the last weights on today's names, and before the first feasible one it has
+    a status but no weights. ``panel`` should be a stored table.
     """
     targets = cal.rebalance_dates(calendar, every, start, end)
     covered, exposures = None, None
     if risk is not None:
         covered = cut_lineage(rk.risk_dates(targets, risk[1]))
+    # one partition per date: a step of the carried job reads its own date alone
     names = cut_lineage(
-        rebalance_names(panel, calendar, alpha, index, targets, risk_dates=covered, max_rows=max_rows, **universe)
+        rebalance_names(panel, calendar, alpha, index, targets, risk_dates=covered, max_rows=max_rows, **universe), ["date"]
     )
     if risk is not None and rounds:
         exposures = cut_lineage(rk.exposures_asof(names, covered, risk[0]))
@@ -109,19 +111,21 @@ def _run_carried(spread: DataFrame, names: DataFrame, solve, max_rows: int | Non
     path = new_table_path(spark, "rebalance")
     last = spread.select("scenario_id", "code", F.lit(0.0).alias("weight")).where(F.lit(False))
     dates = [r[0] for r in names.select("date").distinct().orderBy("date").collect()]
+    feasible = F.col("status_code") == al.OPTIMAL
     for i, day in enumerate(dates):
         today = al.carry_weights(spread.where(F.col("date") == F.lit(day)), last, max_rows=max_rows)
-        solved = solve(today)
+        solve(today).write.parquet(f"{path}/solved/{i:06d}")
+        solved = spark.read.parquet(f"{path}/solved/{i:06d}")
         kept = last.select("scenario_id", "code", F.col("weight").alias("_last"))
-        feasible = F.col("status_code") == al.OPTIMAL
-        step = solved.join(kept, ["scenario_id", "code"], "left").withColumn(
+        held = last.select("scenario_id").distinct().withColumn("_held", F.lit(True))
+        step = solved.join(kept, ["scenario_id", "code"], "left").join(held, "scenario_id", "left")
+        step = step.where(feasible | F.col("_held")).withColumn(
             "weight", F.when(feasible, F.col("weight")).otherwise(F.coalesce("_last", F.lit(0.0)))
-        ).drop("_last")
-        step.write.parquet(f"{path}/weights/{i:06d}")
-        step = spark.read.parquet(f"{path}/weights/{i:06d}")
+        )
+        step.drop("_last", "_held").write.parquet(f"{path}/weights/{i:06d}")
         # a scenario that failed today goes on from its last feasible weights
-        fresh = step.where(feasible).select("scenario_id", "code", "weight")
+        fresh = solved.where(feasible).select("scenario_id", "code", "weight")
         ok = fresh.select("scenario_id").distinct()
         last = cut_lineage(fresh.unionByName(last.join(ok, "scenario_id", "left_anti")))
-    out = spark.read.parquet(*[f"{path}/weights/{i:06d}" for i in range(len(dates))])
-    return out, out.select(*KEYS, "status_code").distinct()
+    weights, solved = (spark.read.parquet(*[f"{path}/{kind}/{i:06d}" for i in range(len(dates))]) for kind in ("weights", "solved"))
+    return weights, solved.select(*KEYS, "status_code").distinct()

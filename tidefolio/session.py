@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; on a cluster use the session it gives."""
@@ -31,12 +34,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a master that runs all tasks in this process may fall back to a
+    temporary folder of this machine.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not sc.getCheckpointDir():
@@ -45,18 +49,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """Unused path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Unused path for a table in the shared folder, known to `release`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables this application wrote for its own steps; frames that read them are then void."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write the rows as a table in the shared folder and go on from there.
 
     A lost executor then costs a re-read, not a recomputation. Unlike a
     checkpoint the table is columnar: later steps read only the columns they
-    need and the planner knows its size.
+    need and the planner knows its size. ``by`` names partition columns, for
+    tables that are read one value at a time.
     """
     spark = df.sparkSession
     path = new_table_path(spark, "step")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
