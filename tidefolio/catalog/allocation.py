@@ -220,22 +220,34 @@ def rebalance_turnover(spark, sf):
     return rounded(au.turnover(weights), "turnover")
 
 
-@query(with_panel("""
+SUMMARY = with_panel("""
 SELECT w.scenario_id, w.periods, f.failed, round(w.p, 6) AS mean_positions, round(t.m, 6) AS mean_turnover
 FROM (SELECT scenario_id, count(*) AS periods, avg(n) AS p FROM (
         SELECT scenario_id, date, count(*) FILTER (WHERE weight > 1e-6) AS n FROM wt GROUP BY 1, 2) GROUP BY 1) w
 JOIN (SELECT scenario_id, count(DISTINCT date) FILTER (WHERE status_code <> 'optimal') AS failed FROM wt GROUP BY 1) f ON f.scenario_id = w.scenario_id
-JOIN (SELECT scenario_id, avg(coalesce(turnover, 0)) AS m FROM tv GROUP BY 1) t ON t.scenario_id = w.scenario_id""", TURN))
+JOIN (SELECT scenario_id, avg(coalesce(turnover, 0)) AS m FROM tv GROUP BY 1) t ON t.scenario_id = w.scenario_id""", TURN)
+
+
+@query(SUMMARY)
 def batch_summary(spark, sf):
     weights, _, _, _ = _weights(spark, sf)
     statuses = weights.select("scenario_id", "date", "status_code").distinct()
     return rounded(au.batch_summary(weights, statuses), "mean_positions", "mean_turnover")
 
 
-@query(with_panel("SELECT scenario_id, date, count(*) AS n, round(sum(weight), 6) AS weight FROM wt GROUP BY 1, 2", SCALED))
+@query(with_panel("SELECT scenario_id, date, code, round(weight, 6) AS weight FROM wt", SCALED))
 def weights_store(spark, sf):
     weights, _, _, _ = _weights(spark, sf)
     path = new_table_path(spark, "weights")
     sinks.write_weights(weights.select("scenario_id", "date", "code", "weight"), path)
-    stored = spark.read.parquet(path)
-    return rounded(stored.groupBy("scenario_id", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "weight")
+    return rounded(spark.read.parquet(path), "weight")
+
+
+@query(SUMMARY)
+def summary_store(spark, sf):
+    weights, _, _, _ = _weights(spark, sf)
+    summary = au.batch_summary(weights, weights.select("scenario_id", "date", "status_code").distinct())
+    path = new_table_path(spark, "summary")
+    sinks.write_summary(summary, path)
+    stored = spark.read.schema(summary.schema).csv(path, header=True)
+    return rounded(stored, "mean_positions", "mean_turnover")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from tidefolio.catalog.allocation import NAMES, SCENARIOS
 from tidefolio.catalog.base import rounded, stored, with_panel
 from tidefolio.catalog.registry import query
-from tidefolio.operators import audit as au
 from tidefolio.plans import proxy_risk, rebalance
 
 FIRST = NAMES.replace("d.day % 6 = 4", "d.day % 6 = 0").rstrip() + """,
@@ -43,7 +42,5 @@ def rebalance_job_first_period(spark, sf):
 def rebalance_job_carried(spark, sf):
     panel, days, n = stored(spark, sf)
     alpha = proxy_risk.alpha(panel, days, n)
-    weights, statuses = rebalance.run_rebalance(
-        panel, days, alpha, SCENARIOS, "hs300", every=12, carry=True, max_rows=n, top_n=60
-    )
-    return au.turnover(weights).join(statuses, ["scenario_id", "date"])
+    weights, _ = rebalance.run_rebalance(panel, days, alpha, SCENARIOS, "hs300", every=12, carry=True, max_rows=n)
+    return rounded(weights.select("scenario_id", "date", "code", "status_code", "weight"), "weight")

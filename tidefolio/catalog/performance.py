@@ -232,6 +232,26 @@ def performance_metrics(spark, sf):
     return rounded(tall.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in sides}), *sides)
 
 
+FULL_COLS = ["port_ret", "bm_ret", "excess_ret", "vol", "max_dd", "sharpe", "calmar", "info_ratio", "excess_te", "excess_dd"]
+_FULL = ", ".join(
+    f"round(sign(v) * ln(1 + abs(v)), 6) AS {name}".replace("v)", f"{col})")
+    for name, col in zip(
+        FULL_COLS,
+        "p.annual_return b.annual_return p.annual_excess_return p.annual_vol p.max_drawdown p.sharpe p.calmar p.info_ratio p.tracking_error p.excess_max_drawdown".split(),
+    )
+)
+
+
+@query(with_panel(f"""
+SELECT p.scenario_id, d.n_days, {_FULL} FROM fig p
+JOIN fig b ON b.scenario_id = p.scenario_id AND b.side = 'benchmark'
+JOIN (SELECT scenario_id, count(*) AS n_days FROM dly GROUP BY 1) d ON d.scenario_id = p.scenario_id
+WHERE p.side = 'portfolio'""", DAILY.rstrip() + figures_sql("sides", "scenario_id, side").rstrip() + "," + FIGURES))
+def yearly_full_period(spark, sf):
+    full = pf.yearly_table(_daily(spark, sf)).where(F.col("year").isNull()).drop("year")
+    return rounded(full.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in FULL_COLS}), *FULL_COLS)
+
+
 YEARLY_COLS = ["port_ret", "bm_ret", "excess_ret", "vol", "max_dd", "sharpe", "calmar", "info_ratio", "excess_te", "excess_dd"]
 
 

@@ -121,21 +121,21 @@ def factor_exposures(spark, sf):
 
 
 @query(with_panel("""
-SELECT d.date, round(fr, 8) AS factor_risk, round(sr, 8) AS specific_risk, round(fr + sr, 8) AS total_risk
+SELECT coalesce(d.date, e.date) AS date, round(coalesce(fr, 0), 8) AS factor_risk, round(coalesce(sr, 0), 8) AS specific_risk,
+  round(coalesce(fr, 0) + coalesce(sr, 0), 8) AS total_risk
 FROM (SELECT a.date, sum(a.exposure * c.cov * b.exposure) AS fr
       FROM ex a JOIN cov c ON c.rebal_date = a.rebal_date AND c.factor_i = a.factor
       JOIN ex b ON b.date = a.date AND b.factor = c.factor_j GROUP BY 1) d
-JOIN (SELECT h.date, sum(h.w * h.w * coalesce(s.spec_var, m.mid)) AS sr
+FULL JOIN (SELECT h.date, sum(h.w * h.w * coalesce(s.spec_var, m.mid)) AS sr
       FROM hold h LEFT JOIN spec s ON s.rebal_date = h.rebal_date AND s.code = h.code
       JOIN (SELECT rebal_date, median(spec_var) AS mid FROM spec GROUP BY 1) m ON m.rebal_date = h.rebal_date
-      GROUP BY 1) e ON e.date = d.date
-WHERE sr IS NOT NULL""", ACTIVE))
+      GROUP BY 1) e ON e.date = d.date""", ACTIVE))
 def factor_risk_decomposition(spark, sf):
     panel, days, n, exposures, cov, dates, held = _model(spark, sf)
     at = risk.exposures_asof(held, dates, exposures)
     own = risk.specific_asof(held, dates, proxy_risk.specific(panel, days), max_rows=n)
-    out = risk.risk_decomposition(held, at, own.where(F.col("spec_var").isNotNull()), cov, dates)
-    return rounded(out.where(F.col("specific_risk") > 0), "factor_risk", "specific_risk", "total_risk", places=8)
+    out = risk.risk_decomposition(held, at, own, cov, dates)
+    return rounded(out, "factor_risk", "specific_risk", "total_risk", places=8)
 
 
 @query(with_panel("""

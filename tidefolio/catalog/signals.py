@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidefolio.catalog.base import load, rounded, stored, with_panel
 from tidefolio.catalog.registry import query
 from tidefolio.catalog.series import FORWARD
+from tidefolio.functions import fixed as K
 from tidefolio.operators import signals as sg
 from tidefolio.plans import signal_grid
 from tidefolio.session import cut_lineage, new_table_path
@@ -95,6 +96,13 @@ def signal_statistics(spark, sf):
     return rounded(stats, *STAT_COLS)
 
 
+@query(with_panel("SELECT round(ls_ir / ir_theory, 6) AS transfer_coefficient FROM stats", REV_ROWS))
+def transfer_coefficient(spark, sf):
+    rows, n = _rows(spark, sf)
+    stats = sg.signal_statistics(sg.information_coefficients(rows, max_rows=n), sg.persistence(rows, max_rows=n), fwd_days=2)
+    return rounded(stats.select(sg.transfer_coefficient(F.col("ls_ir"), F.col("ir_theory")).alias("transfer_coefficient")), "transfer_coefficient")
+
+
 def _uniform(first: int, parts: str) -> str:
     return f"((('0x' || substr(md5({parts}), {first}, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 
@@ -137,30 +145,30 @@ def calibration_signals(spark, sf):
     return rounded(sg.calibration_signals(forward, days, TWO_POINTS, [42], max_rows=n), "f")
 
 
-SWEEP = sg.grid_points(ics=(0.05, 0.10), icirs=(0.5, 0.8), decays=(0.0, 0.8), ic=0.10, icir=0.8)
+SWEEP = sg.grid_points()
 SWEEP_UNIQUE = list(dict.fromkeys((a, b, d) for _, a, b, d in SWEEP))
 _SWEEP_VALUES = ", ".join(f"('{s}', {a}::DOUBLE, {b}::DOUBLE, {d}::DOUBLE)" for s, a, b, d in SWEEP)
 
 
 @query(with_panel(f"""
 SELECT w.sweep, w.ic AS in_ic, w.sd AS in_ic_std, round(w.ic / w.sd, 6) AS in_icir, w.decay AS in_decay,
-  {', '.join(f'round(avg(s.{c}), 5) AS {c}' for c in STAT_COLS)}, 2 AS n_seeds
+  {', '.join(f'round(avg(s.{c}), 5) AS {c}' for c in STAT_COLS)}, {len(K.GRID_SEEDS)} AS n_seeds
 FROM (VALUES {_SWEEP_VALUES}) w(sweep, ic, sd, decay)
 JOIN stats s ON s.kk.ic = w.ic AND s.kk.sd = w.sd AND s.kk.decay = w.decay
-GROUP BY w.sweep, w.ic, w.sd, w.decay""", _signals(SWEEP_UNIQUE, [42, 43]).rstrip() + """,
+GROUP BY w.sweep, w.ic, w.sd, w.decay""", _signals(SWEEP_UNIQUE, K.GRID_SEEDS).rstrip() + """,
 rows0 AS (SELECT {'ic': c.in_ic, 'sd': c.in_ic_std, 'decay': c.decay, 'seed': c.seed} AS kk, c.date, c.code, c.f, r.fwd_ret
   FROM cal c JOIN sf r ON r.date = c.date AND r.code = c.code WHERE c.date IN (SELECT date FROM ev)),
 """ + MEASURE))
 def signal_grid_sweeps(spark, sf):
     panel, days, n = stored(spark, sf)
     out = signal_grid.run_grid(
-        panel, days, SWEEP, (42, 43), fwd_days=2, every=3, min_names=MIN_NAMES, max_rows=n
+        panel, days, fwd_days=2, every=3, min_names=MIN_NAMES, max_rows=n
     )
     out = rounded(out, *STAT_COLS, places=5)
     return rounded(out, "in_icir")
 
 
-@query(with_panel("SELECT in_ic, in_ic_std, decay, count(*) AS n, count(DISTINCT code) AS codes FROM cal GROUP BY 1, 2, 3", _signals(TWO_POINTS, [42])))
+@query(with_panel("SELECT in_ic, in_ic_std, decay, date, code, round(f, 6) AS alpha FROM cal", _signals(TWO_POINTS, [42])))
 def signal_store(spark, sf):
     panel, days, n = load(spark, sf)
     forward = sg.standard_forward_returns(panel, days, 2, MIN_NAMES, max_rows=n)
@@ -171,6 +179,4 @@ def signal_store(spark, sf):
     )
     path = new_table_path(spark, "signals")
     sinks.write_signals(named, path)
-    return spark.read.parquet(path).groupBy("in_ic", "in_ic_std", "decay").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("codes")
-    )
+    return rounded(spark.read.parquet(path).drop("param_id"), "alpha")
