@@ -4,6 +4,7 @@ import pytest
 from check_oracle import connect, run
 
 from tidefolio.catalog import oracle_sql, queries
+from tidefolio.session import release
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
@@ -17,6 +18,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
     _, _, diff = run(spark, con, SF, name, queries()[name], SQL[name])
+    release(spark)
     assert diff == ""
 
 

@@ -82,7 +82,7 @@ KEYS = ["scenario_id", "date"]
 
 
 def _inputs(spark, sf):
-    names, panel, days, n = proxy_names.names(spark, sf)
+    names, panel, days, n = proxy_names.names(spark, sf, once=True)
     rows = bd.with_scenarios(names, SCENARIOS)
     return cut_lineage(al.allocation_inputs(bd.tradable_alpha(bd.name_bounds(rows)))), panel, days, n
 
@@ -94,7 +94,7 @@ def _weights(spark, sf):
 
 @query(with_panel("SELECT date, code, status, industry, is_constituent, round(alpha0, 6) AS alpha, round(bm_weight, 6) AS bm_weight, round(prev_weight, 6) AS prev_weight, round(cost, 6) AS cost FROM names", NAMES))
 def allocation_names(spark, sf):
-    names, _, _, _ = proxy_names.names(spark, sf)
+    names, _, _, _ = proxy_names.names(spark, sf, once=True)
     cols = ["date", "code", "status", "industry", "is_constituent", "alpha", "bm_weight", "prev_weight", "cost"]
     return rounded(names.select(*cols), *cols[5:])
 
@@ -107,7 +107,8 @@ def name_bounds(spark, sf):
 
 @query(with_panel("SELECT scenario_id, date, code, status_code, round(weight, 6) AS weight FROM wt", SCALED))
 def optimal_weights(spark, sf):
-    weights, _, _, _ = _weights(spark, sf)
+    rows, _, _, n = _inputs(spark, sf)
+    weights = al.allocate(rows, max_rows=n)  # read once, so not written
     return rounded(weights.select(*KEYS, "code", "status_code", "weight"), "weight")
 
 

@@ -13,14 +13,20 @@ from tidefolio.sources.alpha import alpha_asof
 INDEX = "hs300"
 
 
-def names(spark: SparkSession, sf_dir: str, every: int = 6, first: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(names, panel, calendar, bound): status, industry, alpha, bm_weight, prev_weight and cost."""
+def names(
+    spark: SparkSession, sf_dir: str, every: int = 6, first: int = 4, once: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(names, panel, calendar, bound): status, industry, alpha, bm_weight, prev_weight and cost.
+
+    The names are written unless the caller reads them only ``once``.
+    """
     panel, days, n = stored(spark, sf_dir)
-    targets = cut_lineage(days.where(F.col("day") % every == first).select("date"))
+    targets = days.where(F.col("day") % every == first).select("date")
     today = panel.join(F.broadcast(targets), "date", "left_semi")
     snap = uni.default_prev_weights(uni.filter_universe(uni.snapshot(today, INDEX)), max_rows=n)
     weights = bm.benchmark_weights(panel, INDEX, max_rows=n)
     known = bm.benchmark_asof(snap, targets, weights, max_rows=n).drop("bm_date")
     scored = alpha_asof(known, targets, proxy_risk.alpha(panel, days, n)).drop("alpha_date")
     costs = ts.impact_costs(panel, days, targets, snap, max_rows=n)
-    return cut_lineage(scored.join(costs, ["date", "code"], "left")), panel, days, n
+    found = scored.join(costs, ["date", "code"], "left")
+    return found if once else cut_lineage(found), panel, days, n

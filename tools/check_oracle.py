@@ -74,7 +74,7 @@ def run(spark, con, sf_dir, name, fn, sql):
 
 def main(argv):
     from tidefolio.catalog import oracle_sql, queries
-    from tidefolio.session import local_session
+    from tidefolio.session import local_session, release
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     parts = argv[1:]
@@ -86,6 +86,7 @@ def main(argv):
             took, n, diff = run(spark, con, sf_dir, name, fn, sqls.get(name))
         except Exception as e:  # report and go on with the next query
             took, n, diff = 0.0, -1, f"error {type(e).__name__}: {str(e)[:600]}"
+        release(spark)
         if diff and diff != "no SQL":
             failed.append(name)
         print(f"{'ok  ' if not diff else 'SKIP' if diff == 'no SQL' else 'FAIL'} {name:40s} {took:6.2f}s {n:7d} rows {diff}", flush=True)
