@@ -13,6 +13,7 @@ label, so a document costs one gather per feature.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,15 +86,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, mos
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()),
-                    pa.array([f[1].astype("<u4").tobytes() for f in found], pa.binary()),
+                    pa.array([pack(*f) for f in found], pa.binary()),
                 ],
-                ["doc_id", "label", "at", "n"],
+                ["doc_id", "label", "counts"],
             )
 
-    got = rows.mapInArrow(count, "doc_id long, label int, at binary, n binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["n"])))[:most]
-    return [(r["label"], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["n"], "<u4")) for r in got]
+    got = rows.mapInArrow(count, "doc_id long, label int, counts binary").collect()
+    got = sorted(((r["doc_id"], bytes(r["counts"]), r["label"]) for r in got), key=lambda r: r[:2])[:most]
+    return [(label, *unpack(counts)) for _, counts, label in got]
+
+
+def pack(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted buckets by their steps, then the counts, compressed for the way to the driver."""
+    return zlib.compress(np.concatenate((np.diff(at, prepend=0), n)).astype("<u4").tobytes(), 1)
+
+
+def unpack(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.frombuffer(zlib.decompress(counts), "<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.uint32), n
 
 
 def fit(rows, buckets=BUCKETS, dim=DIM, epochs=EPOCHS, rate=RATE, seed=SEED) -> Model:
