@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidefolio.catalog.base import STATUS, rounded, with_panel
 from tidefolio.catalog.benchmark import CARRIED, RETURNS
 from tidefolio.catalog.registry import query
+from tidefolio.catalog.risk import RISK
 from tidefolio.catalog.series import cost_sql
-from tidefolio.operators import allocate as al, audit as au, bounds as bd
-from tidefolio.plans import proxy_names
+from tidefolio.operators import allocate as al, audit as au, bounds as bd, risk
+from tidefolio.plans import proxy_names, proxy_risk
 from tidefolio.session import cut_lineage, new_table_path
 from tidefolio.sources import sinks
 
@@ -187,6 +188,33 @@ def constraint_audit(spark, sf):
     return rounded(au.audit(weights, limits), "value", "lo", "hi", "violation")
 
 
+STYLE_LIMITS = SCALED.rstrip() + "," + RISK[: RISK.index("ret1 AS")].rstrip() + """
+rdn AS (SELECT w.date, max(r.rebal_date) AS rebal_date FROM (SELECT DISTINCT date FROM wt) w
+  JOIN (SELECT DISTINCT rebal_date FROM expo) r ON r.rebal_date <= w.date GROUP BY 1),
+se AS (SELECT w.scenario_id, w.date, e.factor AS key, sum(e.x * CASE WHEN enh THEN w.bm_weight ELSE 0 END) AS mid, sum(e.x * w.weight) AS value
+  FROM wt w JOIN rdn r ON r.date = w.date JOIN expo e ON e.rebal_date = r.rebal_date AND e.code = w.code
+  WHERE e.factor IN ('Size', 'Liquidity', 'Value') GROUP BY 1, 2, 3),
+sb AS (SELECT *, CASE WHEN scenario_id = 'enhanced' THEN 0.3 WHEN scenario_id = 'long_only' AND key = 'Size' THEN 0.4 ELSE 1.0 END AS b FROM se),
+sv AS (
+  SELECT scenario_id, date, 'style' AS kind, key, value, mid - b AS lo, mid + b AS hi FROM sb UNION ALL
+  SELECT scenario_id, date, 'deviation', 'l2', sqrt(sum((weight - bm_weight) * (weight - bm_weight))), NULL, 0.1 FROM wt GROUP BY 1, 2)
+"""
+
+
+@query(with_panel("""
+SELECT scenario_id, date, kind, key, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  round(greatest(coalesce(value - hi, 0.0), coalesce(lo - value, 0.0), 0.0), 6) AS violation FROM sv""", STYLE_LIMITS))
+def style_and_deviation_audit(spark, sf):
+    weights, panel, days, n = _weights(spark, sf)
+    exposures = cut_lineage(proxy_risk.exposures(panel, days, n))
+    known = exposures.select("rebal_date").distinct()
+    dates = cut_lineage(risk.risk_dates(weights.select("date").distinct(), known))
+    at = cut_lineage(risk.exposures_asof(weights.select("date", "code").distinct(), dates, exposures))
+    limits = bd.group_bounds(weights.withColumn("weight_diff_l2_bound", F.lit(0.1)), at)
+    rows = au.audit(weights, limits, at).where(F.col("kind").isin("style", "deviation"))
+    return rounded(rows, "value", "lo", "hi", "violation")
+
+
 @query(with_panel("""
 SELECT date, code, round(CASE WHEN status IN ('suspended', 'new_listing') THEN 0.0
     WHEN sd > 1e-10 THEN (c - mu) / sd ELSE c END, 6) AS alpha,
