@@ -25,6 +25,7 @@ SMOOTHING = 0.1
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 CHARS = 1 << 19  # characters worked on at once
+TERMS = 1 << 21  # numbers of a batch's product, about
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -72,6 +73,16 @@ def ngram_buckets(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCK
                 yield (g & np.uint32(buckets - 1))[part[:m] != 32] if n == 1 else g & np.uint32(buckets - 1)
 
 
+def sparse_counts(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that occur in the text, ascending, and how often each does."""
+    total: np.ndarray | None = None
+    for piece in ngram_buckets(text, sizes, buckets):
+        n = np.bincount(piece, minlength=buckets)
+        total = n if total is None else total + n
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
 def train(docs: DataFrame, training: Column, sizes=SIZES, buckets=BUCKETS, smoothing=SMOOTHING, max_languages=MAX_LANGUAGES) -> Model:
     """Fit on `text` and `lang` of all rows where `training` holds and both are there."""
 
@@ -89,10 +100,9 @@ def train(docs: DataFrame, training: Column, sizes=SIZES, buckets=BUCKETS, smoot
                 if lang.as_py() not in seen and len(seen) >= 64:
                     yield from flush()
                 counts = seen.setdefault(lang.as_py(), np.zeros(buckets + 1, np.int64))
+                at, n = sparse_counts(text.as_py(), sizes, buckets)
+                counts[at + 1] += n
                 counts[0] += 1  # documents
-                for b in ngram_buckets(text.as_py(), sizes, buckets):
-                    at, n = np.unique(b, return_counts=True)
-                    counts[at + 1] += n
         yield from flush()
 
     rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
@@ -109,16 +119,37 @@ def train(docs: DataFrame, training: Column, sizes=SIZES, buckets=BUCKETS, smoot
     return Model(languages, np.log(docs_of / max(docs_of.sum(), 1)), np.log(grams / grams.sum(axis=0)).astype(np.float32), tuple(sizes))
 
 
-def score_text(model: Model, text: str | None) -> tuple[str, float]:
-    """Most probable language and its posterior; `und` and 0 without a letter or without a learned language."""
-    if text is None or not model.languages or not _LETTER.search(text):
-        return UNKNOWN, 0.0
-    total = model.log_prior.copy()
-    for b in ngram_buckets(text, model.sizes, len(model.log_prob)):
-        for i in range(0, len(b), max(1, (1 << 20) // len(total))):
-            total += model.log_prob[b[i : i + max(1, (1 << 20) // len(total))]].sum(axis=0, dtype=np.float64)
-    best = int(np.argmax(total))
-    return model.languages[best], float(1 / np.exp(total - total[best]).sum())
+def log_posteriors(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Text x language: log prior and the sparse counts of all texts times the log-probability matrix."""
+    out = np.tile(model.log_prior, (len(rows), 1))
+    sizes = [len(at) for at, _ in rows]
+    if sum(sizes):
+        terms = model.log_prob[np.concatenate([at for at, _ in rows])] * np.concatenate([n for _, n in rows])[:, None]
+        some = np.flatnonzero(sizes)  # reduceat takes no empty rows
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        out[some] += np.add.reduceat(terms, starts[some], axis=0)
+    return out
+
+
+def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Most probable language of each text and its posterior; `und` and 0 without a letter or without a learned language."""
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    part: list[int] = []
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    terms = 0
+    for i, text in enumerate(texts):
+        if text and model.languages and _LETTER.search(text):
+            part.append(i)
+            rows.append(sparse_counts(text, model.sizes, len(model.log_prob)))
+            terms += len(rows[-1][0]) * len(model.languages)
+        if part and (terms >= TERMS or i == len(texts) - 1):
+            logs = log_posteriors(model, rows)
+            best = logs.argmax(axis=1)
+            shares = 1 / np.exp(logs - logs[np.arange(len(part)), best][:, None]).sum(axis=1)
+            for k, b, share in zip(part, best.tolist(), shares.tolist(), strict=True):
+                langs[k], scores[k] = model.languages[b], share
+            part, rows, terms = [], [], 0
+    return langs, scores
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -133,12 +164,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score_text(shared.value, t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+            langs, scores = score_texts(shared.value, batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(i) for i in range(len(rest))]
-            yield pa.record_batch(
-                [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*rest, "lang_pred", "score"],
-            )
+            yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return docs.select(*rest).mapInArrow(score, schema)
 
