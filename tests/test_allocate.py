@@ -171,6 +171,26 @@ def test_a_failed_date_keeps_the_last_weights_and_a_failed_start_has_none(spark)
     assert seen[1][("s", "a")] is None and seen[2][("s", "a")] == 0.75 and seen[3][("s", "a")] == 0.75
 
 
+def test_scenarios_from_a_table(spark, market):
+    names, _ = market
+    given = [bd.scenario("a", "alpha_max", style_bound={"Size": 0.4}), bd.scenario("b", "index_enhance", style_bound=None)]
+    cols = ["scenario_id", "strategy", *bd.NUMBERS]
+    rows = [
+        (*[s[c] if c in ("scenario_id", "strategy") else None if s.get(c) is None else float(s[c]) for c in cols], s["style_bound"])
+        for s in given
+    ]
+    types = ["string", "string"] + ["double"] * len(bd.NUMBERS)
+    table = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(cols, types)) + ", style_bounds map<string,double>")
+    one, two = bd.with_scenarios(names, given), bd.with_scenarios(names, table)
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    many = spark.range(1000).selectExpr("concat('s', id) AS scenario_id", "'alpha_max' AS strategy", "0.1D AS weight_upper")
+    wide = bd.with_scenarios(names, many)
+    few = bd.with_scenarios(names, many.where("scenario_id < 's3'"))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(wide) - size(few)) < 1000 and wide.count() == 1000 * names.count()
+
+
 def test_scenarios_reject_unknown_parameters():
     with pytest.raises(ValueError):
         bd.scenario("x", "other")

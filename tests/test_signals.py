@@ -128,3 +128,12 @@ def test_smoothing_over_several_blocks(spark):
     got = {(r.code, r.day): r.f for r in ts.smooth(df).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_grid_points_from_a_table(spark):
+    df = spark.range(3)
+    points = [(0.05, 0.1, 0.0), (0.08, 0.1, 0.8)]
+    table = spark.createDataFrame(points, "in_ic double, in_ic_std double, decay double")
+    cols = ["id", "in_ic", "in_ic_std", "decay"]
+    one, two = (sg.with_points(df, p).select(*cols).collect() for p in (points, table))
+    assert sorted(one) == sorted(two) and len(one) == 6

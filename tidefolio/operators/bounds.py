@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidefolio.functions import fixed as K
 from tidefolio.functions.cols import bound_for, bounds_map, is_banned
+from tidefolio.operators.groups import repeat_for
 
 # Parameter defaults of the two strategies.
 LONG_ONLY = {
@@ -39,8 +40,16 @@ def scenario(scenario_id: str, strategy: str, **changes) -> dict:
     return {"scenario_id": scenario_id, **base[strategy], **changes}
 
 
-def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
-    """Repeat each row for every scenario, with its parameters as columns."""
+def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping] | DataFrame) -> DataFrame:
+    """Repeat each row for every scenario, with its parameters as columns.
+
+    A table of scenarios has scenario_id, strategy, the numbers and
+    style_bounds (map of factor to bound); what it lacks is unset.
+    """
+    if isinstance(scenarios, DataFrame):
+        unset = {n: F.lit(None).cast("double") for n in NUMBERS} | {"style_bounds": F.lit(None).cast("map<string,double>")}
+        known = scenarios.withColumns({n: c for n, c in unset.items() if n not in scenarios.columns})
+        return repeat_for(df, known.select("scenario_id", "strategy", *[F.col(n).cast("double").alias(n) for n in NUMBERS], "style_bounds"))
 
     def cell(s: Mapping) -> Column:
         style = s.get("style_bound")

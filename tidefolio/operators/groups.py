@@ -44,6 +44,18 @@ def join_groups(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str =
     return df.join(right, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def repeat_for(df: DataFrame, parameters: DataFrame, most: int = 100_000) -> DataFrame:
+    """Each row once per row of a parameter table, with its columns.
+
+    The table is read once, as a scalar subquery, so the plan does not grow
+    with it. It reaches every task whole and may have ``most`` rows.
+    """
+    if parameters.limit(most + 1).count() > most:
+        raise ValueError(f"a parameter table of over {most} rows; run it in parts")
+    rows = parameters.agg(F.collect_list(F.struct(*parameters.columns)))
+    return df.withColumn("_all", rows.scalar()).withColumn("_p", F.explode("_all")).select("_p.*", *df.columns)
+
+
 def with_aggregates(
     df: DataFrame, group: Sequence[str], aggs: Mapping[str, Column], max_rows: int | None = None
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from tidefolio.functions import fixed as K
 from tidefolio.functions.cols import hash_normal, ratio
 from tidefolio.operators.calendar import at_offset, with_day
 from tidefolio.operators.crosssection import top_and_bottom, zscore
-from tidefolio.operators.groups import average_ranks, with_aggregates
+from tidefolio.operators.groups import average_ranks, repeat_for, with_aggregates
 from tidefolio.operators.timeseries import forward_returns, smooth, valid_dates
 
 
@@ -46,8 +46,10 @@ def evaluation_dates(
     return numbered.where((F.col("_rn") - 1) % every == 0).select("date")
 
 
-def with_points(df: DataFrame, points: Sequence[tuple[float, float, float]]) -> DataFrame:
-    """Repeat each row for every grid point (ic, ic_std, decay)."""
+def with_points(df: DataFrame, points: Sequence[tuple[float, float, float]] | DataFrame) -> DataFrame:
+    """Repeat each row for every grid point (ic, ic_std, decay), given as tuples or as a table in_ic, in_ic_std, decay."""
+    if isinstance(points, DataFrame):
+        return repeat_for(df, points.select(*[F.col(c).cast("double").alias(c) for c in ("in_ic", "in_ic_std", "decay")]))
     cells = [
         F.struct(F.lit(float(a)).alias("in_ic"), F.lit(float(b)).alias("in_ic_std"), F.lit(float(d)).alias("decay"))
         for a, b, d in points
@@ -72,7 +74,7 @@ def distinct_points(points: Sequence[tuple[str, float, float, float]]) -> list[t
 def calibration_signals(
     forward: DataFrame,
     calendar: DataFrame,
-    points: Sequence[tuple[float, float, float]],
+    points: Sequence[tuple[float, float, float]] | DataFrame,
     seeds: Sequence[int] = K.GRID_SEEDS,
     max_rows: int | None = None,
 ) -> DataFrame:
