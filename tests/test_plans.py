@@ -46,3 +46,42 @@ def test_scan_reads_only_needed_columns(spark):
 def test_top_rows_are_cut_before_the_shuffle(spark):
     plan = _plan(queries()["universe_top_by_cap"](spark, SF))
     assert "WindowGroupLimit" in plan
+
+
+def test_holdings_meet_exposures_once(spark):
+    """The costly join of the risk decomposition; both ends of the covariance are looked up in its sums."""
+    from tidefolio.operators.risk import risk_decomposition
+    from tidefolio.session import cut_lineage
+
+    day = "date '2024-01-02' AS date"
+    weights = spark.sql(f"SELECT {day}, 'a' AS code, 0.5D AS weight UNION ALL SELECT {day}, 'b', -0.5D")
+    exposures = cut_lineage(spark.sql(f"SELECT {day}, 'a' AS code, 'Size' AS factor, 2.0D AS x UNION ALL SELECT {day}, 'b', 'Beta', 1.0D"))
+    specific = spark.sql(f"SELECT {day}, 'a' AS code, 0.04D AS spec_var UNION ALL SELECT {day}, 'b', NULL")
+    pairs = [("Size", "Size", 1.0), ("Size", "Beta", 0.5), ("Beta", "Size", 0.5), ("Beta", "Beta", 2.0), ("Size", "Value", 9.0)]
+    cov = spark.createDataFrame(pairs, "factor_i string, factor_j string, cov double").selectExpr("date '2024-01-01' AS rebal_date", "*")
+    dates = spark.sql(f"SELECT {day}, date '2024-01-01' AS rebal_date")
+    out = risk_decomposition(weights, exposures, specific, cov, dates)
+    row = out.first()
+    assert row["factor_risk"] == pytest.approx(1.0 * 1 + 2 * (1.0 * -0.5) * 0.5 + 0.25 * 2)
+    assert row["specific_risk"] == pytest.approx(0.25 * 0.04)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*factor", plan)) == 1
+
+
+def test_deferred_sales_join_on_code_and_day(spark):
+    from datetime import date
+
+    from tidefolio.operators.execution import deferred_sales
+
+    d = [date(2024, 1, i) for i in range(1, 8)]
+    orders = spark.createDataFrame(
+        [("s", d[0], d[3], "a", "sell", True, True), ("s", d[0], d[3], "b", "sell", True, True), ("s", d[0], None, "c", "sell", True, True), ("s", d[0], d[3], "e", "buy", True, True)],
+        "scenario_id string, exec_date date, next_exec_date date, code string, side string, blocked boolean, priced boolean",
+    )
+    closed = {"a": (0, 1), "b": (0, 1, 2, 3), "c": (0, 2)}
+    rows = [(x, c, None if (c, i) == ("c", 1) else 1.0, i in no) for c, no in closed.items() for i, x in enumerate(d)]
+    prices = spark.createDataFrame(rows, "date date, code string, price double, cant_sell boolean")
+    out = deferred_sales(orders, prices)
+    assert {r["code"]: r["sale_date"] for r in out.collect()} == {"a": d[2], "b": None, "c": d[3]}
+    joins = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", _plan(out))
+    assert joins and all("exec_date" in j and "code" in j for j in joins)
