@@ -174,10 +174,16 @@ def slow_repeats(rows, length):
         for i in range(len(w) - length + 1):
             if count[tuple(w[i : i + length])] > 1:
                 gone.update(range(i, i + length))
-        out[(r[0], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+        starts = [k for k in sorted(gone) if k - 1 not in gone]
+        spans = tuple((a, next(b for b in range(a, len(w) + 1) if b not in gone)) for a in starts)
+        out[(r[0], len(w), len(gone), spans, " ".join(x for k, x in enumerate(w) if k not in gone))] += 1
     return out
 
 
+def found_repeats(frame):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], tuple((s["a"], s["b"]) for s in r["spans"]), r["kept"]) for r in frame.collect())
+
+
 def test_substring_dedup_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = edge_rows()
@@ -188,15 +194,15 @@ def test_substring_dedup_against_brute_force(spark):
         rows.append((200 + k, " ".join(own[:at] + [f"p{i}" for i in range(start, start + size)] + own[at:]), None, None, None, None))
     rows.append((300, " ".join(f"q{i % 5}" for i in range(200)), None, None, None, None))
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS))
-    assert got.columns == ["doc_id", "n_words", "n_removed", "kept"]
-    assert Counter(map(tuple, got.collect())) == slow_repeats(rows, substring_dedup.LENGTH)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "spans", "kept"]
+    assert found_repeats(got) == slow_repeats(rows, substring_dedup.LENGTH)
 
 
 def test_one_id_for_two_texts(spark):
     shared = " ".join(f"s{i}" for i in range(40))
     rows = [(1, shared + " a"), (1, "b " * 50), (2, "c " + shared)]
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert Counter(map(tuple, got.collect())) == slow_repeats(rows, substring_dedup.LENGTH)
+    assert found_repeats(got) == slow_repeats(rows, substring_dedup.LENGTH)
 
 
 def test_anchor_is_the_rightmost_least_gram():

@@ -53,7 +53,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset(
     """ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice
     notification alert newsletter subscribe subscription signup login comment comments disqus respond reply replies sidebar widget widgets share sharing social
-    related recommended breadcrumb breadcrumbs menu nav navbar navigation topbar masthead header footer pagination pager toolbar copyright skip""".split()
+    related recommended breadcrumb breadcrumbs menu nav navbar navigation topbar masthead header footer pagination pager toolbar copyright skip
+    disclaimer legal adslot adunit adbox adcontainer paywall""".split()
 )
 NEVER = frozenset("html body main article".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption".split()) | INLINE

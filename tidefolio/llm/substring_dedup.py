@@ -178,7 +178,10 @@ def covered(n_words: int, places: np.ndarray, length: int = LENGTH) -> np.ndarra
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the other words, joined by a space) of every document.
+    """doc_id, n_words, n_removed, spans and kept of every document.
+
+    spans are the maximal repeats as word ranges [a, b), kept the other words
+    joined by a space.
 
     A word goes when a window of `length` words around it also starts anywhere
     else, in the same document or another, a repeated row included; the first
@@ -194,17 +197,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for batch in batches:
             out = []
             for blob, places in zip(batch.column(2), batch.column(3), strict=True):
-                words, gone = _unpack(blob).split(), 0
+                words, gone, spans = _unpack(blob).split(), 0, []
                 n = len(words)
                 if places.is_valid and len(places):
                     away = covered(n, places.values.to_numpy(zero_copy_only=False), length)
                     gone = int(away.sum())
+                    edges = np.flatnonzero(np.diff(away.view(np.int8), prepend=0, append=0)).tolist()
+                    spans = [{"a": a, "b": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
                     words = [words[i] for i in np.flatnonzero(~away).tolist()]
-                out.append((n, gone, b" ".join(words)))
+                out.append((n, gone, spans, b" ".join(words)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary())
             yield pa.record_batch(
-                [batch.column(0), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                [batch.column(0), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))],
+                ["doc_id", "n_words", "n_removed", "spans", "kept"],
             )
 
     joined = _with_places(docs, lists, "left").select("doc_id", "mark", "blob", "places")
-    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, spans array<struct<a:int,b:int>>, kept binary").withColumn(
+        "kept", F.col("kept").cast("string")
+    )
