@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidefolio.llm.text import others, schema_with
 
-MEMO = 250_000  # pre-tokens a worker remembers at least, twice as many at most
+MEMO = 150_000  # pre-tokens a worker remembers at least, twice as many at most
 LOAD = 2  # keys per bucket of the perfect hash
 OUT = 1 << 22  # bytes of text per result batch
 
