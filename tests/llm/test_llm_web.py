@@ -9,7 +9,6 @@ from collections import defaultdict
 
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from tidefolio.llm import html_text, url_filter, warc
 from tidefolio.session import new_table_path
@@ -228,4 +227,4 @@ def test_spread_ends_on_a_cycle(spark):
     seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double")
     got = {r["host"]: r["mass"] for r in url_filter.spread(edges, seeds, damping=0.5, tolerance=0.01).collect()}
     want = slow_spread({("a", "b"): 1, ("b", "a"): 1}, {"a": 1.0}, 0.5, url_filter.rounds(0.5, 0.01))
-    assert got == pytest.approx(dict(want)) and F is not None
+    assert got == pytest.approx(dict(want))
