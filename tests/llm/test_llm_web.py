@@ -68,7 +68,8 @@ def test_odd_markup_is_read_in_linear_time():
     assert len(html_text.main_text("<p>word, word. " * 20_000).split()) == 40_000
     html_text.main_text('<a "' * 20_000)
     html_text.main_text("<" * 100_000)
-    html_text.main_text("<div>" * 5_000 + "deep, text." + "</b>" * 5_000)
+    assert html_text.main_text("<div>" * 100_000 + "deep, text." + "</i></table>" * 50_000) == "deep, text."
+    assert len(html_text.main_text("<div>a, <b>" * 30_000)) == 30_000 * 3 - 1
 
 
 def test_extraction_keeps_other_columns(spark):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -65,13 +66,18 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
-    path: str
+    path: int  # number of the root-to-element tag path
     parent: Element | None
     furniture: bool
+    holder: Element = field(init=False)  # container around the block that the element is or stands in
     chosen: float = 0.0  # length of the content below
+    inside: bool = False  # of the content's container
+
+    def __post_init__(self) -> None:
+        self.holder = self.parent.holder if self.parent and self.tag in LEAVES else self
 
 
 @dataclass
@@ -104,12 +110,34 @@ def is_furniture(tag: str, attributes: str) -> bool:
     return False
 
 
-def text_nodes(page: str) -> list[Node]:
-    """Text nodes in page order with their elements; raw and hidden text is left out."""
+def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
+    """Text nodes and elements in page order; raw and hidden text is left out.
+
+    Each step looks at the open elements only if one it may end is open, so
+    deep pages take time in proportion to their length too.
+    """
     nodes: list[Node] = []
-    root = Element("", "", None, False)
-    stack, block, at = [root], 0, 0
+    elements = [Element("", 0, None, False)]
+    stack, block, at = list(elements), 0, 0
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
     pending: list[str] = []
+    last = max(page.rfind(">"), page.rfind("<!--"))  # beyond it no tag ends
+
+    def end_from(i: int) -> None:
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
+    def close(tags: set[str], fence: set[str]) -> None:
+        """End the outermost open element of the tags above the fence, with all in it."""
+        found = 0
+        for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in tags) else ():
+            if stack[i].tag in fence:
+                break
+            if stack[i].tag in tags:
+                found = i
+        if found:
+            end_from(found)
 
     def flush() -> None:
         if pending:
@@ -120,7 +148,7 @@ def text_nodes(page: str) -> list[Node]:
 
     while at < len(page):
         start = page.find("<", at)
-        if start < 0:
+        if start < 0 or start > last:
             pending.append(page[at:])
             break
         pending.append(page[at:start])
@@ -142,42 +170,33 @@ def text_nodes(page: str) -> list[Node]:
         if tag not in INLINE:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    end_from(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break  # a stray end tag of a phrase ends no block
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"table", "td", "th", "button", "object"})
+            close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS:
-            _close(stack, *SIBLINGS[tag])
+            close(*SIBLINGS[tag])
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?![a-z0-9])", re.I).search(page, at)
             at = len(page) if not end else end.start()
             if end:
-                close = page.find(">", at)
-                at = len(page) if close < 0 else close + 1
+                shut = page.find(">", at)
+                at = len(page) if shut < 0 else shut + 1
             continue
         up = stack[-1]
-        stack.append(Element(tag, f"{up.path}/{tag}", up, up.furniture or is_furniture(tag, m[3])))
+        path = paths.setdefault((up.path, tag), len(paths) + 1)
+        stack.append(Element(tag, path, up, up.furniture or is_furniture(tag, m[3])))
+        elements.append(stack[-1])
+        opened[tag] += 1
     flush()
-    return nodes
-
-
-def _close(stack: list[Element], tags: set[str], fence: set[str]) -> None:
-    """End the outermost open element of the tags above the fence, with all in it."""
-    found = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in fence:
-            break
-        if stack[i].tag in tags:
-            found = i
-    if found:
-        del stack[found:]
+    return nodes, elements
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -187,7 +206,7 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, kernel)[r : r + len(x)] / np.convolve(np.ones(len(x)), kernel)[r : r + len(x)]
 
 
-def content_paths(nodes: list[Node], sigma: float = SIGMA, spread: float = SPREAD) -> set[str]:
+def content_paths(nodes: list[Node], sigma: float = SIGMA, spread: float = SPREAD) -> set[int]:
     """Tag paths whose fused ratio reaches the threshold."""
     paths, place = np.unique([n.element.path for n in nodes], return_inverse=True)
     count = np.bincount(place)
@@ -202,60 +221,39 @@ def content_paths(nodes: list[Node], sigma: float = SIGMA, spread: float = SPREA
 
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null or a page without text."""
-    nodes = [n for n in text_nodes(page or "")]
+    nodes, elements = text_nodes(page or "")
     real = [n for n in nodes if n.length]
     if not real:
         return ""
     paths = content_paths(real)
-    chosen = [n for n in real if n.element.path in paths]
-    for n in chosen:
-        e = n.element
-        while e:
-            e.chosen += n.length
-            e = e.parent
-    children: dict[int, list[Element]] = {}
-    seen: set[int] = set()
-    for n in chosen:
-        e = n.element
-        while e.parent and id(e) not in seen:
-            seen.add(id(e))
-            children.setdefault(id(e.parent), []).append(e)
-            e = e.parent
-    root = chosen[0].element
-    while root.parent:
-        root = root.parent
+    holders = set()  # containers that hold content, next to which may stand what is short
+    for n in real:
+        if n.element.path in paths:
+            n.element.chosen += n.length
+            holders.add(n.element.holder)
+    children: dict[Element, list[Element]] = {}
+    for e in reversed(elements):  # parents come before their children
+        if e.parent and e.chosen:
+            e.parent.chosen += e.chosen
+            children.setdefault(e.parent, []).append(e)
+    root = elements[0]
     total = root.chosen
     while root.tag not in ("article", "main"):
-        best = max(children.get(id(root), []), key=lambda e: e.chosen, default=None)
+        best = max(reversed(children.get(root, [])), key=lambda e: e.chosen, default=None)
         if best is None or best.tag in LEAVES or best.chosen < MOST * total:
             break
         root = best
-    holders = set()  # containers that hold content next to what may be short
-    for n in chosen:
-        holders.add(id(_holder(n.element)))
+    for e in elements:
+        e.inside = e is root or bool(e.parent and e.parent.inside)
     whole = root.tag in ("article", "main")
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if _within(n.element, root) and (whole or n.element.path in paths or id(_holder(n.element)) in holders):
+        e = n.element
+        if e.inside and (whole or e.path in paths or e.holder in holders):
             blocks.setdefault(n.block, []).append(n.text)
     return " ".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 
 
-def _holder(e: Element) -> Element:
-    """Container around the block that the element is or stands in."""
-    while e.parent and e.tag in LEAVES:
-        e = e.parent
-    return e
-
-
-def _within(e: Element, root: Element) -> bool:
-    while e is not None:
-        if e is root:
-            return True
-        e = e.parent
-    return False
-
-
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of pages and text, n_chars (code points); columns of those names are replaced.
 
