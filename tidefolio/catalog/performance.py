@@ -311,3 +311,17 @@ def report_store(spark, sf):
         one = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(with_panel("""
+SELECT scenario_id, date, round(nav, 6) AS nav, round(bm_nav, 6) AS bm_nav, round(excess_nav, 6) AS excess_nav,
+  round(nav / max(nav) OVER (PARTITION BY scenario_id ORDER BY date) - 1, 6) AS port_drawdown,
+  round(excess_nav / max(excess_nav) OVER (PARTITION BY scenario_id ORDER BY date) - 1, 6) AS excess_drawdown,
+  round(ret, 6) AS port_ret, round(bm_ret, 6) AS bm_ret FROM dl""", DAILY))
+def report_store_timeseries(spark, sf):
+    panel, days, n, prices, plan, positions = _trades(spark, sf)
+    fees = ex.trading_costs(ex.orders(positions, plan, prices))
+    path = new_table_path(spark, "report")
+    sinks.write_tables(backtest.report_tables(_daily(spark, sf), fees), path)
+    stored = spark.read.parquet(f"{path}/timeseries")
+    return rounded(stored, *[c for c in stored.columns if c not in ("scenario_id", "date")])

@@ -139,14 +139,13 @@ def factor_risk_decomposition(spark, sf):
 
 
 @query(with_panel("""
-SELECT v AS variant, e.rebal_date, e.n, e.x, s.spec, c.pairs FROM (VALUES ('S'), ('L')) t(v),
-  (SELECT rebal_date, count(*) AS n, round(sum(x), 4) AS x FROM expo GROUP BY 1) e
-  JOIN (SELECT u.rebal_date, count(coalesce(s.spec_var, m.mid)) AS spec FROM zu u
-        JOIN spec s ON s.rebal_date = u.rebal_date AND s.code = u.code
-        JOIN (SELECT u2.rebal_date, median(s2.spec_var) AS mid FROM zu u2 JOIN spec s2
-              ON s2.rebal_date = u2.rebal_date AND s2.code = u2.code GROUP BY 1) m ON m.rebal_date = u.rebal_date
-        GROUP BY 1) s ON s.rebal_date = e.rebal_date
-  JOIN (SELECT rebal_date, count(*) AS pairs FROM cov GROUP BY 1) c ON c.rebal_date = e.rebal_date""", RISK))
+SELECT v AS variant, t.* FROM (VALUES ('S'), ('L')) w(v), (
+  SELECT 'exposure' AS kind, rebal_date, code AS a, factor AS b, round(x, 6) AS value FROM expo UNION ALL
+  SELECT 'specific', u.rebal_date, u.code, '', round(coalesce(s.spec_var, m.mid), 6)
+  FROM zu u JOIN spec s ON s.rebal_date = u.rebal_date AND s.code = u.code
+  JOIN (SELECT u2.rebal_date, median(s2.spec_var) AS mid FROM zu u2
+        JOIN spec s2 ON s2.rebal_date = u2.rebal_date AND s2.code = u2.code GROUP BY 1) m ON m.rebal_date = u.rebal_date UNION ALL
+  SELECT 'covariance', rebal_date, factor_i, factor_j, round(cov, 6) FROM cov) t""", RISK))
 def risk_panels_stored(spark, sf):
     panel, days, n = stored(spark, sf)
     exposures = cut_lineage(proxy_risk.exposures(panel, days, n))
@@ -159,11 +158,11 @@ def risk_panels_stored(spark, sf):
     out = None
     for v in ("S", "L"):
         e, s, c = risk_source.load_risk_panels(spark, path, v)
-        one = (
-            e.groupBy("rebal_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
-            .join(s.groupBy("rebal_date").agg(F.count("spec_var").alias("spec")), "rebal_date")
-            .join(c.groupBy("rebal_date").agg(F.count(F.lit(1)).alias("pairs")), "rebal_date")
-            .withColumn("variant", F.lit(v))
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        parts = (("exposure", e, "code", "factor", "x"), ("specific", s, "code", None, "spec_var"), ("covariance", c, "factor_i", "factor_j", "cov"))
+        for kind, df, a, b, value in parts:
+            one = df.select(
+                F.lit(v).alias("variant"), F.lit(kind).alias("kind"), "rebal_date", F.col(a).alias("a"),
+                (F.col(b) if b else F.lit("")).alias("b"), F.col(value).alias("value"),
+            )
+            out = one if out is None else out.unionByName(one)
+    return rounded(out, "value")
