@@ -110,6 +110,38 @@ def test_simhash_against_brute_force(spark):
     assert simhash.fingerprint(("x " * 70_000 + "y").encode()) == simhash.fingerprint(("x\n" * 70_000 + "Y").encode())
 
 
+NEAR = " ".join(f"t{i}" for i in range(400))
+NEAR_DOCS = "doc_id long, text string, lang string"
+
+
+def near_kept(spark, rows):
+    assert (simhash.fingerprint(NEAR.encode()) ^ simhash.fingerprint((NEAR + " end").encode())).bit_count() <= 4
+    docs = spark.createDataFrame(rows, NEAR_DOCS).repartition(3)
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    return Counter(map(tuple, got.collect()))
+
+
+def test_near_dedup_knows_rows_without_doc_id_apart(spark):
+    alone = " ".join(f"a{i}" for i in range(300))
+    rows = [(5, NEAR, "en"), (None, NEAR + " end", "en"), (None, alone, "de"), (None, "one more clean text", None)]
+    assert near_kept(spark, rows) == Counter([rows[0], rows[2], rows[3]])
+
+
+def test_near_dedup_knows_texts_under_one_id_apart(spark):
+    alone = " ".join(f"a{i}" for i in range(300))
+    rows = [(5, NEAR, "en"), (7, NEAR + " end", "en"), (7, alone, "de")]
+    assert near_kept(spark, rows) == Counter([rows[0], rows[2]])
+
+
+def test_near_dedup_leaves_one_document_of_tied_rows(spark):
+    tied = near_kept(spark, [(5, NEAR, "en"), (5, NEAR + " end", "en"), (9, NEAR, "de")])
+    assert tied.total() == 1 and next(iter(tied))[0] == 5
+    assert near_kept(spark, [(None, NEAR, "en"), (None, NEAR + " end", "en"), (None, NEAR, "en")]).total() == 1
+    repeated = [(5, NEAR, "en"), (5, NEAR, "en"), (6, NEAR, "en")]  # one document in two rows
+    assert near_kept(spark, repeated) == Counter(repeated[:2])
+
+
 def test_spark_hash_is_the_contracts_hash(spark):
     want = xxhash.xxh64_intdigest("a b é d".encode(), 42)
     assert spark.range(1).select(F.xxhash64(F.lit("a b é d"))).first()[0] % 2**64 == want

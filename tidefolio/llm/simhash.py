@@ -55,15 +55,15 @@ def fingerprint(data: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long of each document; null counts as empty."""
+def with_fingerprints(docs: DataFrame, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """The key column and the fingerprint as a signed long of each document; null counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint((t.as_py() or "").encode(), size) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select(key, "text").mapInArrow(work, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 class Golay:
@@ -216,6 +216,12 @@ def keyed_links(keyed: DataFrame, most: int = DISTANCE, large: int = LARGE) -> D
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, linked boolean")
 
 
+def fingerprint_classes(fps: DataFrame, most: int = DISTANCE) -> DataFrame:
+    """The columns of the distinct fingerprints fp, and `component`, the least fingerprint that links reach."""
+    classes = components(fingerprint_links(fps, most))
+    return cut_lineage(fps.join(classes, fps["fp"] == classes["node"], "left").select(*fps.columns, F.coalesce("component", "fp").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every document.
 
@@ -227,17 +233,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE)
     """
     rows = cut_lineage(with_fingerprints(docs, size))
     fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    classes = components(fingerprint_links(fps, most))
-    named = cut_lineage(
-        fps.join(classes, fps["fp"] == classes["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    )
+    named = fingerprint_classes(fps, most)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = cut_lineage(named.join(least, "component").select("fp", "component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
-    """Of each component the documents with its least doc_id, with all their columns."""
-    lost = near_duplicates(docs, size, most).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lost = lost.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left_anti")
+    """One document of each component, with all its columns.
+
+    It is the one with the least doc_id; a row without doc_id stays only if
+    its whole component has none, and of rows tied on the id the text with the
+    least digest stays. As in exact dedup, rows repeated with the id and text
+    of that document are the same document and stay; rows without doc_id are
+    not, one of them stays. Rows are told apart by a number written with them.
+    """
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    prints = cut_lineage(with_fingerprints(numbered, size, "_row"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    rows = cut_lineage(numbered.select("_row", "doc_id", digest).join(prints, "_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "_row")
+    fps = cut_lineage(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    named = fingerprint_classes(fps, most)
+    first = named.groupBy("component").agg(F.min("first").alias("first"))
+    known = cut_lineage(named.select("fp", "component").join(first, "component").select("fp", "first"))
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    stays = (F.col("_row") == F.col("first._row")) | F.coalesce(same, F.lit(False))
+    lost = cut_lineage(rows.join(known, "fp").where(~stays).select("_row"))
+    return numbered.join(lost, "_row", "left_anti").select(*docs.columns)
