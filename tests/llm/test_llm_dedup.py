@@ -160,6 +160,12 @@ def test_golay_code_is_perfect_and_keys_meet():
         assert set(keys[rows == 0]) & set(keys[rows == 1])
 
 
+def test_distance_beyond_the_keys_is_an_error(spark):
+    for find in (simhash.near_duplicates, simhash.drop_near_duplicates):
+        with pytest.raises(ValueError, match="within 4 bits"):
+            find(spark.createDataFrame([(1, NEAR, "en")], NEAR_DOCS), most=simhash.DISTANCE + 1)
+
+
 def test_large_keys_are_dealt_in_blocks_with_the_same_result(spark):
     rng = np.random.default_rng(1)
     fps = set()

@@ -151,7 +151,10 @@ def fingerprint_links(fps: DataFrame, most: int = DISTANCE, large: int = LARGE)
 
     A key of more than `large` fingerprints is dealt out in blocks: every two
     blocks meet in a task of their own, so that no task holds the whole key.
+    The keys are proven for DISTANCE bits; a larger `most` is an error.
     """
+    if most > DISTANCE:
+        raise ValueError(f"keys meet within {DISTANCE} bits only, not {most}")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
