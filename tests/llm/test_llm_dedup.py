@@ -243,6 +243,21 @@ def test_one_id_for_two_texts(spark):
     assert found_repeats(got) == slow_repeats(rows, substring_dedup.LENGTH)
 
 
+def test_rows_without_doc_id_are_told_apart_by_more_than_a_few_bits(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    seen, pairs = {}, []
+    for i in range(40_000):  # a text with a repeat and a short one that agree in 23 bits of their hash
+        text = f"{shared} long{i}" if i % 2 else f"short{i}"
+        bits = xxhash.xxh64_intdigest(text.encode(), 42) & (1 << 23) - 1
+        other = seen.setdefault(bits, text)
+        if (len(other) > 40) != (len(text) > 40):
+            pairs.append((other, text))
+    assert pairs
+    rows = [(None, text) for text in pairs[0]] + [(1, "lead " + shared), (None, pairs[0][0]), (None, pairs[0][0])]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found_repeats(got) == slow_repeats(rows, substring_dedup.LENGTH)
+
+
 def test_anchor_is_the_rightmost_least_gram():
     words = np.array([7, 7, 7, 9, 7, 7, 7, 9, 1, 2, 3, 4], np.uint64)
     value, place = substring_dedup.anchors(words, length=6, gram=3)

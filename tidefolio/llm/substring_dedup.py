@@ -13,7 +13,8 @@ one by one against the windows of all contexts of that anchor. A group is
 compared at once by counting digests, never pair by pair, so a passage that
 thousands of documents share costs its number of occurrences, not its square.
 Anchor and context (or window) hashes together are 128 bits. What matches is
-merged to maximal repeats per document.
+merged to maximal repeats per document. Each row is a document of its own,
+known by a number that is written once beside its text, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefolio.llm.text import mix64
@@ -34,7 +35,6 @@ LENGTH = 35
 GRAM = 8
 GRAM_BASE = 0xD6E8FEB86659FD93
 CONTEXT_BASE = 0xA0761D6478BD642F
-MARK_BITS = 23
 
 
 def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -72,106 +72,91 @@ def seeds_of(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
     return value[first], mix64(runs(words, first, first + n - 1 + length, CONTEXT_BASE) + n.astype(np.uint64)), first, n
 
 
-def _mark(text: Column) -> Column:
-    """A few bits of the text, which keep apart texts under one doc_id."""
-    return F.xxhash64(text).bitwiseAND((1 << MARK_BITS) - 1)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), "text")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark and the text compressed, for shuffles."""
+def packed(docs: DataFrame) -> DataFrame:
+    """row, doc_id and the text compressed; row is a number of its own for each row, written with it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             blobs = [None if not t.is_valid else z.compress(t.as_py().encode()) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["doc_id", "mark", "blob"])
-
-    return _texts(docs).mapInArrow(pack, "doc_id long, mark long, blob binary")
-
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["row", "doc_id", "blob"])
 
-def _with_places(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Compressed texts beside the lists of their document, which come one row per (doc_id, mark)."""
-    own = lists.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), *[c for c in lists.columns if c not in ("doc_id", "mark")])
-    blobs = _packed(docs)
-    return blobs.join(own, blobs["doc_id"].eqNullSafe(own["_id"]) & (blobs["mark"] == own["_mark"]), how).drop("_id", "_mark")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut_lineage(texts.mapInArrow(pack, "row long, doc_id long, blob binary"))
 
 
 def _unpack(blob: pa.Scalar) -> bytes:
     return zstandard.decompress(blob.as_py()) if blob.is_valid else b""
 
 
-def find_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """anchor, context, doc_id, place of every seed; place holds mark, first window and number of windows."""
+def find_seeds(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """anchor, context, row, place of every seed of the packed texts; place holds first window and number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start, held, total = 0, [], 0
-            for row, (mark, text) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                a, c, first, n = seeds_of(word_hashes((text.as_py() or "").encode()), length, gram)
-                held.append((a, c, (mark.as_py() << 40) | (first << 8) | n))
+            for row, blob in enumerate(batch.column(1)):
+                a, c, first, n = seeds_of(word_hashes(_unpack(blob)), length, gram)
+                held.append((a, c, (first << 8) | n))
                 total += len(a)
                 if total >= 200_000 or row == batch.num_rows - 1:
                     ids = batch.column(0).slice(start, len(held)).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
                     joined = [np.concatenate([h[i] for h in held]).view(np.int64) for i in range(3)]
-                    yield pa.record_batch([pa.array(joined[0]), pa.array(joined[1]), ids, pa.array(joined[2])], ["anchor", "context", "doc_id", "place"])
+                    yield pa.record_batch([pa.array(joined[0]), pa.array(joined[1]), ids, pa.array(joined[2])], ["anchor", "context", "row", "place"])
                     start, held, total = row + 1, [], 0
 
-    return _texts(docs).mapInArrow(work, "anchor long, context long, doc_id long, place long")
+    return texts.select("row", "blob").mapInArrow(work, "anchor long, context long, row long, place long")
 
 
-def find_windows(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor, window hash, doc_id, place and `open` of each window of the wanted seeds.
+def find_windows(texts: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
+    """anchor, window hash, row, place and `open` of each window of the wanted seeds.
 
-    wanted: doc_id, place, anchor, open.
+    wanted: row, place, anchor, open.
     """
-    lists = wanted.groupBy("doc_id", F.shiftright("place", 40).alias("mark")).agg(F.collect_list(F.struct("anchor", "place", "open")).alias("seeds"))
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "place", "open")).alias("seeds"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = word_hashes(_unpack(batch.column(2)[row]))
-                seeds = batch.column(3)[row].values
+                words = word_hashes(_unpack(batch.column(1)[row]))
+                seeds = batch.column(2)[row].values
                 anchor, place, opened = (f.to_numpy(zero_copy_only=False) for f in seeds.flatten())
-                first, n = (place >> 8) & 0xFFFFFFFF, place & 0xFF
+                first, n = place >> 8, place & 0xFF
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 hashes = mix64(runs(words, at, at + length, CONTEXT_BASE))
-                places = (np.repeat(place >> 40, n) << 40) | (at << 8) | 1
+                places = (at << 8) | 1
                 ids = pa.repeat(batch.column(0)[row], len(at))
                 yield pa.record_batch(
                     [pa.array(np.repeat(anchor, n)), pa.array(hashes.view(np.int64)), ids, pa.array(places), pa.array(np.repeat(opened, n).astype(bool))],
-                    ["anchor", "window", "doc_id", "place", "open"],
+                    ["anchor", "window", "row", "place", "open"],
                 )
 
-    return _with_places(docs, lists, "inner").select("doc_id", "mark", "blob", "seeds").mapInArrow(
-        work, "anchor long, window long, doc_id long, place long, open boolean"
+    return texts.join(lists, "row").select("row", "blob", "seeds").mapInArrow(
+        work, "anchor long, window long, row long, place long, open boolean"
     )
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, place of all runs of windows whose words start elsewhere too."""
-    seeds = cut_lineage(find_seeds(docs, length, gram))
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """row, place of all runs of windows of the packed texts whose words start elsewhere too."""
+    seeds = cut_lineage(find_seeds(texts, length, gram))
     twice = cut_lineage(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     met = cut_lineage(seeds.join(twice, "anchor"))
     contexts = cut_lineage(
-        met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place"))
+        met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("place").alias("place"))
     )
-    whole = met.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("doc_id", "place")
+    whole = met.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("row", "place")
     several = cut_lineage(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"))
-    wanted = contexts.join(several, "anchor").select("doc_id", "place", "anchor", (F.col("n") == 1).alias("open"))
-    windows = cut_lineage(find_windows(docs, wanted, length))
+    wanted = contexts.join(several, "anchor").select("row", "place", "anchor", (F.col("n") == 1).alias("open"))
+    windows = cut_lineage(find_windows(texts, wanted, length))
     same = cut_lineage(windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window"))
-    part = windows.where("open").join(same, ["anchor", "window"]).select("doc_id", "place")
+    part = windows.where("open").join(same, ["anchor", "window"]).select("row", "place")
     return whole.unionByName(part)
 
 
 def covered(n_words: int, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which words of a text stand in a repeated window."""
     edge = np.zeros(n_words + 1, np.int64)
-    first, n = (places >> 8) & 0xFFFFFFFF, places & 0xFF
+    first, n = places >> 8, places & 0xFF
     np.add.at(edge, first, 1)
     np.add.at(edge, first + n - 1 + length, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -190,13 +175,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows without doc_id are judged alike. Other columns are ignored; an empty
     table gives no row.
     """
-    found = repeats(docs, length, gram)
-    lists = found.groupBy("doc_id", F.shiftright("place", 40).alias("mark")).agg(F.collect_list("place").alias("places"))
+    texts = packed(docs)
+    lists = repeats(texts, length, gram).groupBy("row").agg(F.collect_list("place").alias("places"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for blob, places in zip(batch.column(2), batch.column(3), strict=True):
+            for blob, places in zip(batch.column(1), batch.column(2), strict=True):
                 words, gone, spans = _unpack(blob).split(), 0, []
                 n = len(words)
                 if places.is_valid and len(places):
@@ -212,7 +197,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 ["doc_id", "n_words", "n_removed", "spans", "kept"],
             )
 
-    joined = _with_places(docs, lists, "left").select("doc_id", "mark", "blob", "places")
+    joined = texts.join(lists, "row", "left").select("doc_id", "blob", "places")
     return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, spans array<struct<a:int,b:int>>, kept binary").withColumn(
         "kept", F.col("kept").cast("string")
     )
