@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, quality, simhash, substring_dedup, url_filter, warc
+from tidefolio.llm import (
+    byte_bpe,
+    collocations,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_align,
+    url_filter,
+    warc,
+)
 from tidefolio.llm.text import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +213,73 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query(
+    rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+    gram AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+             FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM word, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k) WHERE len(w) >= k)),
+    freq AS (SELECT lang, k, phrase, count(*) AS c FROM gram GROUP BY ALL),
+    total AS (SELECT lang, sum(c) AS n FROM freq WHERE k = 1 GROUP BY lang),
+    cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM freq WHERE k > 1 AND c >= {collocations.LEAST}),
+    cut AS (SELECT *, array_to_string(w[1:j], ' ') AS p1, array_to_string(w[j + 1:], ' ') AS p2
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+    cost AS (SELECT lang, phrase, a, j, x.c AS l, y.c AS r, (CAST({collocations.SCALE} AS HUGEINT) * a) // (x.c + y.c) AS score
+             FROM cut JOIN freq x USING (lang) JOIN freq y USING (lang)
+             WHERE x.phrase = p1 AND y.phrase = p2),
+    low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cost),
+    inner_part AS (SELECT lang, a AS longer, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+                   FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand WHERE k > 2))),
+    most AS (SELECT lang, phrase, max(longer) AS longer FROM inner_part GROUP BY ALL),
+    kept AS (SELECT lang, phrase, a, l, r, score FROM low LEFT JOIN most USING (lang, phrase)
+             WHERE nth = 1 AND NOT coalesce(100 * CAST(longer AS HUGEINT) >= {collocations.SHARE} * CAST(a AS HUGEINT), FALSE)),
+    rated AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM rated JOIN total USING (lang) WHERE rank <= {collocations.TOP}"""
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _shard_sql() -> str:
+    """CRC-32 byte by byte from a table that follows from its polynomial, then two numberings."""
+    polynomial, top, n = 0xEDB88320, 0xFFFFFFFF, sharding.SHARDS
+
+    def hashed(*parts: str) -> str:
+        return f"CAST('0x' || substr(md5(concat_ws('|', '{sharding.SEED}', {', '.join(parts)})), 1, {sharding.DIGITS}) AS BIGINT)"
+
+    table_ctes = ["s0 AS (SELECT k, CAST(k AS BIGINT) AS v FROM range(256) AS t(k))"]
+    for i in range(8):
+        table_ctes.append(f"s{i + 1} AS (SELECT k, xor(v >> 1, {polynomial} * (v & 1)) AS v FROM s{i})")
+    return (
+        "WITH "
+        + ", ".join(table_ctes)
+        + f""", lookup AS (SELECT list(v ORDER BY k) AS t FROM s8),
+    doc AS (SELECT doc_id, source, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents),
+    crc AS (SELECT doc_id, source, r, strlen(x) + 8 AS size,
+                   xor({top}, list_reduce(list_prepend(CAST({top} AS BIGINT), list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                       lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS text_crc32
+            FROM doc, lookup),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {hashed("doc_id", "text_crc32")}, r) AS k,
+                      count(*) OVER (PARTITION BY source) AS n FROM crc),
+    spread AS (SELECT *, (k - 1 + {hashed("source")} / CAST(16 AS DOUBLE) ** {sharding.DIGITS}) / n AS at FROM ranked),
+    placed AS (SELECT *, row_number() OVER (ORDER BY at, source NULLS FIRST, k) - 1 AS p, count(*) OVER () AS total FROM spread),
+    dealt AS (SELECT *, p * {n} // total AS shard FROM placed)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+           CAST(p - (shard * total + {n - 1}) // {n} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""
+    )
+
+
+@query(_shard_sql())
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = token_align.score_links(table(spark, sf_dir, "documents"), token_align.public_pair())
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
