@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     names = __spark_entry__.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
