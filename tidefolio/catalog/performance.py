@@ -36,12 +36,6 @@ pos AS (
   LEFT JOIN px x ON x.date = p.exec_date AND x.code = w.code),
 csh AS (SELECT p.scenario_id, p.exec_date, p.next_exec_date, 1 - coalesce(sum(s.weight) FILTER (WHERE s.units IS NOT NULL), 0) AS cash
   FROM plan p LEFT JOIN pos s ON s.scenario_id = p.scenario_id AND s.exec_date = p.exec_date GROUP BY 1, 2, 3),
-spans AS (SELECT c.*, d.date FROM csh c JOIN days d ON d.date >= c.exec_date AND (c.next_exec_date IS NULL OR d.date < c.next_exec_date)),
-pv AS (
-  SELECT s.scenario_id, s.exec_date, s.date, s.cash + coalesce(sum(p.units * x.vprice), 0) AS growth,
-    s.cash / (s.cash + coalesce(sum(p.units * x.vprice), 0)) AS cash_share
-  FROM spans s LEFT JOIN pos p ON p.scenario_id = s.scenario_id AND p.exec_date = s.exec_date AND p.units IS NOT NULL
-  LEFT JOIN px x ON x.date = s.date AND x.code = p.code GROUP BY 1, 2, 3, s.cash),
 gr AS (
   SELECT c.scenario_id, c.next_exec_date AS exec_date, c.cash + coalesce(sum(p.units * x.price), 0) AS growth
   FROM csh c LEFT JOIN pos p ON p.scenario_id = c.scenario_id AND p.exec_date = c.exec_date AND p.units IS NOT NULL
@@ -59,17 +53,59 @@ ordr AS (
         FROM pos a FULL JOIN cur b ON b.scenario_id = a.scenario_id AND b.exec_date = a.exec_date AND b.code = a.code) o
   JOIN plan l ON l.scenario_id = o.scenario_id AND l.exec_date = o.exec_date
   LEFT JOIN px x ON x.date = o.exec_date AND x.code = o.code),
+sized AS (
+  SELECT o.*, x.price, abs(delta) * 1e8 > 1 AND priced AS meant FROM ordr o LEFT JOIN px x ON x.date = o.exec_date AND x.code = o.code),
+fil AS (
+  SELECT *, CASE WHEN meant AND NOT blocked AND side = 'sell' THEN -abs(delta)
+      WHEN meant AND NOT blocked AND side = 'buy' AND abs(delta) * sc * 1e8 >= 1 THEN abs(delta) * sc ELSE 0 END AS filled,
+    CASE WHEN meant AND blocked AND side = 'sell' THEN abs(delta) ELSE 0 END AS waiting
+  FROM (SELECT *, least(1.0, (1 - sum(cur) OVER w + coalesce(sum(abs(delta)) FILTER (WHERE meant AND NOT blocked AND side = 'sell') OVER w, 0) * 0.998)
+      / (coalesce(sum(abs(delta)) FILTER (WHERE meant AND NOT blocked AND side = 'buy') OVER w, 0) * 1.001 + 1e-16)) AS sc
+    FROM sized WINDOW w AS (PARTITION BY scenario_id, exec_date))),
 fees AS (
-  SELECT scenario_id, exec_date, sum(abs(delta)) AS turnover,
-    sum(CASE WHEN delta > 0 THEN delta * 0.001 ELSE -delta * 0.002 END) AS cost FROM ordr GROUP BY 1, 2),
+  SELECT scenario_id, exec_date, sum(abs(filled)) AS turnover,
+    sum(CASE WHEN filled > 0 THEN filled * 0.001 ELSE -filled * 0.002 END) AS cost FROM fil GROUP BY 1, 2),
+sale AS (
+  SELECT f.scenario_id, f.exec_date, f.code, f.waiting / f.price AS units, min(x.date) AS until FROM fil f
+  LEFT JOIN px x ON x.code = f.code AND x.date > f.exec_date AND (f.next_exec_date IS NULL OR x.date <= f.next_exec_date)
+    AND NOT x.cant_sell AND x.price IS NOT NULL
+  WHERE f.waiting > 0 GROUP BY 1, 2, 3, f.waiting, f.price),
+held AS (
+  SELECT scenario_id, exec_date, code, (cur + filled - waiting) / price AS units, NULL::DATE AS until FROM fil WHERE priced
+  UNION ALL SELECT * FROM sale
+  UNION ALL SELECT p.scenario_id, p.next_exec_date, p.code, p.units / g.growth, NULL
+    FROM pos p JOIN gr g ON g.scenario_id = p.scenario_id AND g.exec_date = p.next_exec_date
+    WHERE p.units IS NOT NULL AND NOT EXISTS (SELECT 1 FROM px x WHERE x.date = p.next_exec_date AND x.code = p.code AND x.price IS NOT NULL)),
+opening AS (
+  SELECT p.scenario_id, p.exec_date, p.next_exec_date,
+    greatest(coalesce(1 - sum(cur) - sum(CASE WHEN filled > 0 THEN filled * 1.001 ELSE filled * 0.998 END), 1), 0) AS cash
+  FROM plan p LEFT JOIN fil f ON f.scenario_id = p.scenario_id AND f.exec_date = p.exec_date GROUP BY 1, 2, 3),
+got AS (
+  SELECT h.scenario_id, h.exec_date, h.until AS date, sum(h.units * x.price) * 0.998 AS money
+  FROM held h JOIN px x ON x.date = h.until AND x.code = h.code GROUP BY 1, 2, 3),
+worth AS (
+  SELECT o.scenario_id, o.exec_date, d.date, sum(h.units * x.vprice) AS v FROM opening o
+  JOIN days d ON d.date >= o.exec_date AND (o.next_exec_date IS NULL OR d.date < o.next_exec_date)
+  LEFT JOIN held h ON h.scenario_id = o.scenario_id AND h.exec_date = o.exec_date AND (h.until IS NULL OR d.date < h.until)
+  LEFT JOIN px x ON x.date = d.date AND x.code = h.code GROUP BY 1, 2, 3),
+purse AS (
+  SELECT w.*, o.cash + coalesce((SELECT sum(g.money) FROM got g WHERE g.scenario_id = w.scenario_id AND g.exec_date = w.exec_date AND g.date <= w.date), 0) AS money
+  FROM worth w JOIN opening o ON o.scenario_id = w.scenario_id AND o.exec_date = w.exec_date),
+pv AS (SELECT scenario_id, exec_date, date, money + coalesce(v, 0) AS growth, money / (money + coalesce(v, 0)) AS cash_share FROM purse),
+grown AS (
+  SELECT o.scenario_id, o.next_exec_date AS exec_date, o.cash + coalesce(sum(h.units * x.price), 0)
+    + coalesce((SELECT sum(g.money) FROM got g WHERE g.scenario_id = o.scenario_id AND g.exec_date = o.exec_date), 0) AS growth
+  FROM opening o LEFT JOIN held h ON h.scenario_id = o.scenario_id AND h.exec_date = o.exec_date AND h.until IS NULL
+  LEFT JOIN px x ON x.date = o.next_exec_date AND x.code = h.code WHERE o.next_exec_date IS NOT NULL GROUP BY 1, 2, o.cash, o.exec_date),
 base AS (
-  SELECT f.scenario_id, f.exec_date, product(coalesce(g.growth, 1.0) * (1 - f.cost)) OVER (PARTITION BY f.scenario_id ORDER BY f.exec_date) AS base
-  FROM fees f LEFT JOIN gr g ON g.scenario_id = f.scenario_id AND g.exec_date = f.exec_date),
+  SELECT p.scenario_id, p.exec_date, product(coalesce(g.growth, 1.0)) OVER (PARTITION BY p.scenario_id ORDER BY p.exec_date) AS base
+  FROM plan p LEFT JOIN grown g ON g.scenario_id = p.scenario_id AND g.exec_date = p.exec_date),
+early AS (
+  SELECT s.scenario_id, d.date FROM (
+    SELECT scenario_id, min(signal_date) AS a, min(exec_date) AS b FROM plan GROUP BY 1) s JOIN days d ON d.date >= s.a AND d.date < s.b),
 nav AS (
   SELECT v.scenario_id, v.date, v.growth * b.base AS nav FROM pv v JOIN base b ON b.scenario_id = v.scenario_id AND b.exec_date = v.exec_date
-  UNION ALL
-  SELECT s.scenario_id, d.date, 1.0 FROM (
-    SELECT scenario_id, min(signal_date) AS a, min(exec_date) AS b FROM plan GROUP BY 1) s JOIN days d ON d.date >= s.a AND d.date < s.b)
+  UNION ALL SELECT scenario_id, date, 1.0 FROM early)
 """
 DAILY = WEIGHTS.rstrip() + "," + RETURNS.replace("adj_close", "adj_vwap").rstrip() + """,
 bmr AS (SELECT date, coalesce(sum(ret), 0.0) / (SELECT count(DISTINCT code) FROM panel) AS bm_ret FROM rets GROUP BY 1),
@@ -122,15 +158,21 @@ def _trades(spark, sf):
     weights = _weights(panel, days, n)
     prices = ex.trade_prices(panel)
     plan = cut_lineage(ex.schedule(weights, days))
-    positions = cut_lineage(ex.target_positions(weights, plan, prices))
-    return panel, days, n, prices, plan, positions
+    return prices, ex.orders(cut_lineage(ex.target_positions(weights, plan, prices)), plan, prices)
+
+
+def _book(spark, sf):
+    panel, days, n = _valued(spark, sf)
+    weights, prices = cut_lineage(_weights(panel, days, n)), ex.trade_prices(panel)
+    book = ex.trade_book(weights, days, prices, max_rows=2 * n)
+    return weights, days, prices, book
 
 
 def _daily(spark, sf):
     panel, days, n = _valued(spark, sf)
     weights = cut_lineage(_weights(panel, days, n))
     bench = bm.equal_weight_return(ts.daily_returns(panel, days).select("date", "code", "ret"))
-    return cut_lineage(backtest.set_based(weights, days, panel, bm.on_calendar(bench, days)))
+    return cut_lineage(backtest.set_based(weights, days, panel, bm.on_calendar(bench, days), max_rows=2 * n))
 
 
 ORDER_COLS = "scenario_id, exec_date, code, round(cur, 6) AS current, round(target, 6) AS target, round(delta, 6) AS delta, side, blocked, priced"
@@ -138,21 +180,14 @@ ORDER_COLS = "scenario_id, exec_date, code, round(cur, 6) AS current, round(targ
 
 @query(with_panel(f"SELECT {ORDER_COLS} FROM ordr", WEIGHTS))
 def order_table(spark, sf):
-    _, _, _, prices, plan, positions = _trades(spark, sf)
-    out = ex.orders(positions, plan, prices).drop("next_exec_date")
-    return rounded(out, "current", "target", "delta")
+    _, orders = _trades(spark, sf)
+    return rounded(orders.drop("next_exec_date", "price"), "current", "target", "delta")
 
 
-@query(with_panel("""
-SELECT scenario_id, exec_date, code, round(CASE WHEN live AND side = 'sell' THEN -abs(delta)
-    WHEN live AND side = 'buy' AND abs(delta) * sc * 1e8 >= 1 THEN abs(delta) * sc ELSE 0 END, 6) AS filled
-FROM (SELECT *, least(1.0, (1 - sum(cur) OVER w + sum(CASE WHEN live AND side = 'sell' THEN abs(delta) ELSE 0 END) OVER w * 0.998)
-    / (sum(CASE WHEN live AND side = 'buy' THEN abs(delta) ELSE 0 END) OVER w * 1.001 + 1e-16)) AS sc
-  FROM (SELECT *, abs(delta) * 1e8 >= 1 AND NOT blocked AND priced AS live FROM ordr) WINDOW w AS (PARTITION BY scenario_id, exec_date))""", WEIGHTS))
+@query(with_panel("SELECT scenario_id, exec_date, code, round(filled, 6) AS filled, round(waiting, 6) AS waiting FROM fil", WEIGHTS))
 def filled_orders(spark, sf):
-    _, _, n, prices, plan, positions = _trades(spark, sf)
-    out = ex.scaled_orders(ex.orders(positions, plan, prices), max_rows=2 * n)
-    return rounded(out.select("scenario_id", "exec_date", "code", "filled"), "filled")
+    *_, book = _book(spark, sf)
+    return rounded(book.filled.select("scenario_id", "exec_date", "code", "filled", "waiting"), "filled", "waiting")
 
 
 @query(with_panel("""
@@ -161,38 +196,47 @@ LEFT JOIN px x ON x.code = o.code AND x.date > o.exec_date AND (o.next_exec_date
   AND NOT x.cant_sell AND x.price IS NOT NULL
 WHERE o.side = 'sell' AND o.blocked AND o.priced GROUP BY 1, 2, 3""", WEIGHTS))
 def deferred_sales(spark, sf):
-    _, _, _, prices, plan, positions = _trades(spark, sf)
-    return ex.deferred_sales(ex.orders(positions, plan, prices), prices)
+    prices, orders = _trades(spark, sf)
+    return ex.deferred_sales(orders, prices)
+
+
+@query(with_panel("SELECT scenario_id, exec_date, code, round(sum(units) * 1000, 6) AS units, until FROM held WHERE units <> 0 GROUP BY 1, 2, 3, 5", WEIGHTS))
+def holding_intervals(spark, sf):
+    *_, book = _book(spark, sf)
+    held = book.held.groupBy("scenario_id", "exec_date", "code", "until").agg((F.sum("units") * 1000).alias("units"))
+    return rounded(held, "units")
 
 
 @query(with_panel("""
 SELECT o.scenario_id, o.buy_fail_count, o.sell_defer_count, round(c.avg_cash_pct, 6) AS avg_cash_pct FROM (
-  SELECT scenario_id, count(*) FILTER (WHERE blocked AND priced AND side = 'buy') AS buy_fail_count,
-    count(*) FILTER (WHERE blocked AND priced AND side = 'sell') AS sell_defer_count FROM ordr GROUP BY 1) o
-JOIN (SELECT scenario_id, avg(cash_share) AS avg_cash_pct FROM pv GROUP BY 1) c ON c.scenario_id = o.scenario_id""", WEIGHTS))
+  SELECT scenario_id, count(*) FILTER (WHERE meant AND blocked AND side = 'buy') AS buy_fail_count,
+    count(*) FILTER (WHERE meant AND blocked AND side = 'sell') AS sell_defer_count FROM fil GROUP BY 1) o
+JOIN (SELECT scenario_id, avg(cash_share) AS avg_cash_pct FROM (
+  SELECT scenario_id, cash_share FROM pv UNION ALL SELECT scenario_id, 1.0 FROM early) GROUP BY 1) c ON c.scenario_id = o.scenario_id""", WEIGHTS))
 def execution_statistics(spark, sf):
-    _, days, _, prices, plan, positions = _trades(spark, sf)
-    values = ex.period_values(positions, plan, days, prices)
-    return rounded(ex.execution_statistics(ex.orders(positions, plan, prices), values), "avg_cash_pct")
+    weights, days, prices, book = _book(spark, sf)
+    values = ex.period_values(book.held, book.cash, book.proceeds, days, prices)
+    before = ex.days_before_first(weights, book.plan, days)
+    return rounded(ex.execution_statistics(book.filled, values, before), "avg_cash_pct")
 
 
 @query(with_panel("SELECT scenario_id, exec_date, round(turnover, 6) AS turnover, round(cost, 8) AS cost FROM fees", WEIGHTS))
 def turnover_and_costs(spark, sf):
-    _, _, _, prices, plan, positions = _trades(spark, sf)
-    return rounded(rounded(ex.trading_costs(ex.orders(positions, plan, prices)), "turnover"), "cost", places=8)
+    *_, book = _book(spark, sf)
+    return rounded(rounded(ex.trading_costs(book.filled), "turnover"), "cost", places=8)
 
 
 @query(with_panel("SELECT scenario_id, exec_date, date, round(growth, 6) AS growth, round(cash_share, 6) AS cash_share FROM pv", WEIGHTS))
 def holding_period_values(spark, sf):
-    _, days, _, prices, plan, positions = _trades(spark, sf)
-    return rounded(ex.period_values(positions, plan, days, prices), "growth", "cash_share")
+    _, days, prices, book = _book(spark, sf)
+    return rounded(ex.period_values(book.held, book.cash, book.proceeds, days, prices), "growth", "cash_share")
 
 
 @query(with_panel("SELECT scenario_id, date, round(nav, 6) AS nav FROM nav", WEIGHTS))
 def drift_nav(spark, sf):
     panel, days, n = _valued(spark, sf)
     weights = cut_lineage(_weights(panel, days, n))
-    return rounded(ex.drift_nav(weights, days, ex.trade_prices(panel)), "nav")
+    return rounded(ex.drift_nav(weights, days, ex.trade_prices(panel), max_rows=2 * n), "nav")
 
 
 @query(with_panel("""
@@ -264,10 +308,10 @@ SELECT scenario_id, year, n_days, round(p, 5) AS port_ret, round(b, 5) AS bm_ret
   round(CASE WHEN n_days > 1 THEN se * sqrt(252.0) ELSE 0 END, 5) AS excess_te, round(edd, 5) AS excess_dd
 FROM (SELECT scenario_id, year, count(*) AS n_days, product(1 + ret) - 1 AS p, product(1 + bm_ret) - 1 AS b, stddev_samp(ret) AS s, avg(ret) AS m,
     avg(ret - bm_ret) AS me, stddev_samp(ret - bm_ret) AS se, min(dd) AS mdd, min(edd) AS edd FROM nv GROUP BY 1, 2)
-WHERE n_days > 1""", DAILY.rstrip() + """,
+""", DAILY.rstrip() + """,
 yr AS (SELECT *, year(date)::INTEGER AS year FROM dly)""" + figures_sql("yr", "scenario_id, year")))
 def yearly_breakdown(spark, sf):
-    out = pf.yearly_table(_daily(spark, sf)).where(F.col("year").isNotNull() & (F.col("n_days") > 1))
+    out = pf.yearly_table(_daily(spark, sf)).where(F.col("year").isNotNull())
     return rounded(out, *YEARLY_COLS, places=5)
 
 
@@ -301,8 +345,8 @@ UNION ALL SELECT 'metrics', count(DISTINCT scenario_id) * 12 FROM dly
 UNION ALL SELECT 'yearly', count(*) FROM (SELECT DISTINCT scenario_id, year(date) FROM dly)
 UNION ALL SELECT 'monthly_excess', count(*) FROM mo""", DAILY.rstrip() + figures_sql("dly", "scenario_id")))
 def report_store(spark, sf):
-    panel, days, n, prices, plan, positions = _trades(spark, sf)
-    fees = ex.trading_costs(ex.orders(positions, plan, prices))
+    *_, book = _book(spark, sf)
+    fees = ex.trading_costs(book.filled)
     tables = backtest.report_tables(_daily(spark, sf), fees)
     path = new_table_path(spark, "report")
     sinks.write_tables(tables, path)
@@ -319,8 +363,8 @@ SELECT scenario_id, date, round(nav, 6) AS nav, round(bm_nav, 6) AS bm_nav, roun
   round(excess_nav / max(excess_nav) OVER (PARTITION BY scenario_id ORDER BY date) - 1, 6) AS excess_drawdown,
   round(ret, 6) AS port_ret, round(bm_ret, 6) AS bm_ret FROM dl""", DAILY))
 def report_store_timeseries(spark, sf):
-    panel, days, n, prices, plan, positions = _trades(spark, sf)
-    fees = ex.trading_costs(ex.orders(positions, plan, prices))
+    *_, book = _book(spark, sf)
+    fees = ex.trading_costs(book.filled)
     path = new_table_path(spark, "report")
     sinks.write_tables(backtest.report_tables(_daily(spark, sf), fees), path)
     stored = spark.read.parquet(f"{path}/timeseries")

@@ -36,7 +36,8 @@ def set_based(
     cost_buy: float = K.BUY_COST,
     cost_sell: float = K.SELL_COST,
     keys: Sequence[str] = KEYS,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Daily table of every strategy, each period starting at its target weights."""
-    nav = ex.drift_nav(weights, calendar, ex.trade_prices(panel), cost_buy, cost_sell, keys)
+    """Daily table of every strategy from what its orders fill, each period starting from its last targets."""
+    nav = ex.drift_nav(weights, calendar, ex.trade_prices(panel), cost_buy, cost_sell, keys, max_rows=max_rows)
     return pf.against_benchmark(nav, benchmark, keys)
