@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("panel", "series", "benchmark", "risk", "signals", "allocation", "performance", "jobs")
+MODULES = ("panel", "series", "benchmark", "risk", "signals", "allocation", "limited", "performance", "jobs")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidefolio.functions.cols import is_banned
 from tidefolio.operators.crosssection import winsorise
-from tidefolio.operators.groups import running_sums, with_aggregates
+from tidefolio.operators.groups import join_groups, running_sums, with_aggregates
 
 KEYS = ("scenario_id", "date")
 OPTIMAL = "optimal"
@@ -50,7 +50,7 @@ def _clip(v: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.greatest(v, lo), hi)
 
 
-def _weight_at(nu: Column) -> Column:
+def weight_at(nu: Column) -> Column:
     """The name's best weight when the budget costs ``nu``."""
     two_gamma = 2 * F.col("gamma")
     u = F.col("ref") + (F.col("alpha") - nu) / two_gamma
@@ -65,7 +65,7 @@ def _weight_at(nu: Column) -> Column:
     return _clip(best, F.col("lb"), F.col("ub"))
 
 
-def _breakpoints() -> Column:
+def breakpoints() -> Column:
     """(nu, step): prices where the name's weight starts (+1) or stops (-1) to grow as nu falls."""
     two_gamma = 2 * F.col("gamma")
     lb, ub, prev = F.col("lb"), F.col("ub"), F.col("prev_weight")
@@ -81,39 +81,64 @@ def _breakpoints() -> Column:
     return F.when(prev.isNull(), free).otherwise(sticky)
 
 
-def budget_prices(names: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
-    """(keys, nu, status): the price at which the weights of a group sum to 1."""
-    at = list(keys)
+def price_steps(names: DataFrame, at: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """(at, nu, step, gamma, growing, starts): a group's breakpoints with running totals as the price falls.
+
+    The group's weight at nu is its sum of lb plus (starts - nu * growing) / (2 gamma).
+    """
     steps = (
         names.where(F.col("ub") > F.col("lb"))
-        .select(*at, "gamma", F.explode(_breakpoints()).alias("_b"))
+        .select(*at, "gamma", F.explode(breakpoints()).alias("_b"))
         .select(*at, "gamma", "_b.nu", "_b.step")
         .groupBy(*at, "nu")
         .agg(F.sum("step").alias("step"), F.first("gamma").alias("gamma"))
     )
-    # growing names and their summed breakpoints: the total at nu is
-    # sum(lb) + (starts - nu * growing) / (2 gamma)
-    totals = running_sums(
-        steps, at, [F.col("nu").desc()],
+    return running_steps(steps, at, max_rows)
+
+
+def running_steps(steps: DataFrame, at: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """Add ``growing`` and ``starts`` to steps (at, nu, step, gamma) of distinct nu."""
+    return running_sums(
+        steps, list(at), [F.col("nu").desc()],
         {"growing": F.col("step"), "starts": F.col("step") * F.col("nu")},
         None if max_rows is None else 4 * max_rows,
     )
-    sides = names.groupBy(*at).agg(
-        F.sum("lb").alias("lo"), F.sum("ub").alias("hi"), F.count_if(F.col("lb") > F.col("ub")).alias("crossed")
-    )
-    mass = F.col("lo") + (F.col("starts") - F.col("nu") * F.col("growing")) / (2 * F.col("gamma"))
+
+
+def mass() -> Column:
+    """Weight of a group at a breakpoint; needs its lo."""
+    return F.col("lo") + (F.col("starts") - F.col("nu") * F.col("growing")) / (2 * F.col("gamma"))
+
+
+def before(level: Column) -> Column:
+    """Whether a breakpoint is reached by the time the group weighs ``level``."""
+    return mass() <= level + 1e-12
+
+
+def price_of_level(totals: DataFrame, levels: DataFrame, at: Sequence[str]) -> DataFrame:
+    """(at, nu, growing): the price at which a group weighs ``level``; levels are (at, lo, level)."""
     reached = (
-        totals.join(sides.select(*at, "lo"), at)
-        .where(mass <= 1 + 1e-12)
+        join_groups(totals, levels, at)
+        .where(before(F.col("level")))
         .groupBy(*at)
-        .agg(F.min_by(F.struct("nu", "growing", "starts", "gamma"), "nu").alias("p"))
+        .agg(F.min_by(F.struct("nu", "growing", "starts", "gamma", "lo", "level"), "nu").alias("p"))
     )
     nu = F.when(
-        F.col("p.growing") > 0, (F.col("p.starts") - 2 * F.col("p.gamma") * (1 - F.col("lo"))) / F.col("p.growing")
+        F.col("p.growing") > 0, (F.col("p.starts") - 2 * F.col("p.gamma") * (F.col("p.level") - F.col("p.lo"))) / F.col("p.growing")
     ).otherwise(F.col("p.nu"))
+    return reached.select(*at, nu.alias("nu"), F.col("p.growing").alias("growing"), F.col("p.gamma").alias("gamma"))
+
+
+def budget_prices(names: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
+    """(keys, nu, status): the price at which the weights of a group sum to 1."""
+    at = list(keys)
+    sides = names.groupBy(*at).agg(
+        F.sum("lb").alias("lo"), F.sum("ub").alias("hi"), F.count_if(F.col("lb") > F.col("ub")).alias("crossed")
+    )
+    reached = price_of_level(price_steps(names, at, max_rows), sides.select(*at, "lo", F.lit(1.0).alias("level")), at)
     possible = (F.col("crossed") == 0) & (F.col("lo") <= 1 + 1e-9) & (F.col("hi") >= 1 - 1e-9)
-    return sides.join(reached, at, "left").select(
-        *at, nu.alias("nu"), F.when(possible, OPTIMAL).otherwise(INFEASIBLE).alias("status_code")
+    return sides.join(reached.select(*at, "nu"), at, "left").select(
+        *at, "nu", F.when(possible, OPTIMAL).otherwise(INFEASIBLE).alias("status_code")
     )
 
 
@@ -125,7 +150,7 @@ def allocate(names: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None
     get weight 0. ``names`` is read twice; write it first if it is expensive.
     """
     priced = names.join(budget_prices(names, keys, max_rows), list(keys))
-    raw = F.coalesce(_weight_at(F.col("nu")), F.col("lb"))
+    raw = F.coalesce(weight_at(F.col("nu")), F.col("lb"))
     held = priced.withColumn(
         "weight", F.when(F.col("status_code") == OPTIMAL, F.greatest(raw, F.lit(0.0))).otherwise(0.0)
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidefolio.functions import fixed as K
 from tidefolio.operators import (
@@ -68,6 +68,7 @@ def run_rebalance(
     risk: tuple[DataFrame, DataFrame] | None = None,
     rounds: int = 0,
     max_rows: int | None = None,
+    store: str | None = None,
     **universe,
 ) -> tuple[DataFrame, DataFrame]:
     """(weights, statuses) of every scenario on every k-th trading date.
@@ -79,15 +80,20 @@ def run_rebalance(
     With it each date starts from the last feasible weights, so dates follow
     one another, one job per date over all scenarios; an infeasible date keeps
     the last weights on today's names, and before the first feasible one it has
-    a status but no weights. ``panel`` should be a stored table.
+    a status but no weights. ``panel`` should be a stored table. With ``store``,
+    a folder, the names and every finished date are kept there: a run that was
+    stopped goes on after its last finished date when it is started again with
+    the same arguments.
     """
     targets = cal.rebalance_dates(calendar, every, start, end)
     covered, exposures = None, None
     if risk is not None:
         covered = cut_lineage(rk.risk_dates(targets, risk[1]))
     # one partition per date: a step of the carried job reads its own date alone
-    names = cut_lineage(
-        rebalance_names(panel, calendar, alpha, index, targets, risk_dates=covered, max_rows=max_rows, **universe), ["date"]
+    store = store or new_table_path(panel.sparkSession, "rebalance")
+    names = _kept_step(
+        panel.sparkSession, f"{store}/names",
+        lambda: rebalance_names(panel, calendar, alpha, index, targets, risk_dates=covered, max_rows=max_rows, **universe), ["date"],
     )
     if risk is not None and rounds:
         exposures = cut_lineage(rk.exposures_asof(names, covered, risk[0]))
@@ -103,29 +109,45 @@ def run_rebalance(
     if not carry:
         out = cut_lineage(solve(spread.withColumn("prev_weight", F.lit(None).cast("double"))))
         return out, out.select(*KEYS, "status_code").distinct()
-    return _run_carried(spread, names, solve, max_rows)
+    return _run_carried(spread, names, solve, max_rows, store)
 
 
-def _run_carried(spread: DataFrame, names: DataFrame, solve, max_rows: int | None) -> tuple[DataFrame, DataFrame]:
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _kept_step(spark: SparkSession, path: str, make: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The table at the path; made only if no earlier run finished it."""
+    if not _finished(spark, path):
+        make().write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
+    return spark.read.parquet(path)
+
+
+def _run_carried(spread: DataFrame, names: DataFrame, solve, max_rows: int | None, store: str) -> tuple[DataFrame, DataFrame]:
     spark = names.sparkSession
-    path = new_table_path(spark, "rebalance")
     last = spread.select("scenario_id", "code", F.lit(0.0).alias("weight")).where(F.lit(False))
     dates = [r[0] for r in names.select("date").distinct().orderBy("date").collect()]
     feasible = F.col("status_code") == al.OPTIMAL
-    for i, day in enumerate(dates):
-        today = al.carry_weights(spread.where(F.col("date") == F.lit(day)), last, max_rows=max_rows)
-        solve(today).write.parquet(f"{path}/solved/{i:06d}")
-        solved = spark.read.parquet(f"{path}/solved/{i:06d}")
-        kept = last.select("scenario_id", "code", F.col("weight").alias("_last"))
+
+    def kept(solved: DataFrame, last: DataFrame) -> DataFrame:
+        """Today's weights; a scenario that failed keeps its last ones on today's names."""
+        before = last.select("scenario_id", "code", F.col("weight").alias("_last"))
         held = last.select("scenario_id").distinct().withColumn("_held", F.lit(True))
-        step = solved.join(kept, ["scenario_id", "code"], "left").join(held, "scenario_id", "left")
-        step = step.where(feasible | F.col("_held")).withColumn(
-            "weight", F.when(feasible, F.col("weight")).otherwise(F.coalesce("_last", F.lit(0.0)))
-        )
-        step.drop("_last", "_held").write.parquet(f"{path}/weights/{i:06d}")
-        # a scenario that failed today goes on from its last feasible weights
+        step = solved.join(before, ["scenario_id", "code"], "left").join(held, "scenario_id", "left")
+        step = step.where(feasible | F.col("_held"))
+        return step.withColumn("weight", F.when(feasible, F.col("weight")).otherwise(F.coalesce("_last", F.lit(0.0)))).drop("_last", "_held")
+
+    def next_last(solved: DataFrame, last: DataFrame) -> DataFrame:
+        """What the next date starts from: a scenario that failed today goes on from its last feasible weights."""
         fresh = solved.where(feasible).select("scenario_id", "code", "weight")
-        ok = fresh.select("scenario_id").distinct()
-        last = cut_lineage(fresh.unionByName(last.join(ok, "scenario_id", "left_anti")))
-    weights, solved = (spark.read.parquet(*[f"{path}/{kind}/{i:06d}" for i in range(len(dates))]) for kind in ("weights", "solved"))
+        return fresh.unionByName(last.join(fresh.select("scenario_id").distinct(), "scenario_id", "left_anti"))
+
+    for i, day in enumerate(dates):
+        today, last_, at = spread.where(F.col("date") == F.lit(day)), last, f"{i:06d}"
+        solved = _kept_step(spark, f"{store}/solved/{at}", lambda: solve(al.carry_weights(today, last_, max_rows=max_rows)))
+        _kept_step(spark, f"{store}/weights/{at}", lambda: kept(solved, last_))
+        last = _kept_step(spark, f"{store}/last/{at}", lambda: next_last(solved, last_))
+    weights, solved = (spark.read.parquet(*[f"{store}/{kind}/{i:06d}" for i in range(len(dates))]) for kind in ("weights", "solved"))
     return weights, solved.select(*KEYS, "status_code").distinct()
