@@ -265,3 +265,24 @@ def test_anchor_is_the_rightmost_least_gram():
     for s in range(len(words) - 5):
         window = grams[s : s + 4].tolist()
         assert value[s] == min(window) and place[s] == s + max(i for i, g in enumerate(window) if g == min(window))
+
+
+def test_words_that_defeat_polynomial_hashes_are_told_apart(spark):
+    a = b = ""
+    for i in range(1024):
+        odd = i.bit_count() % 2
+        a, b = a + "ab"[odd], b + "ba"[odd]
+    words = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*words, a])), (2, " ".join([*words, b]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+@pytest.mark.parametrize("length", [300, 700])
+def test_long_windows(spark, length):
+    text = " ".join(f"w{i}" for i in range(length + 320))
+    frame = spark.createDataFrame([(1, text), (2, text), (3, text[4:])], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(frame, length=length).collect()}
+    assert got == {1: length + 320, 2: length + 320, 3: length + 318}
+    with pytest.raises(ValueError, match="windows of"):
+        substring_dedup.remove_repeats(frame, length=5)

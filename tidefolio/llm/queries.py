@@ -82,28 +82,28 @@ def _url_sql() -> str:
             coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages)""",
         """fit AS (SELECT r, first(h || p ORDER BY length(h || p) DESC) AS rule, first(v ORDER BY length(h || p) DESC) AS v
             FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)""",
-        """seeds AS (SELECT host, avg((v IS NOT DISTINCT FROM 'allow')::INT) AS trust, avg((v IS NOT DISTINCT FROM 'block')::INT) AS distrust
-            FROM urls LEFT JOIN fit USING (r) GROUP BY host)""",
         f"""links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{url_filter.LINK.replace("'", "''")}', 1)), {lower}) AS dst FROM urls)""",
         "edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND src <> dst GROUP BY ALL)",
-        f"forth AS (SELECT src, dst, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY src) AS part FROM edges)",
-        f"back AS (SELECT dst AS src, src AS dst, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY dst) AS part FROM edges)",
-        "t0 AS (SELECT host, trust AS mass FROM seeds WHERE trust > 0)",
-        "d0 AS (SELECT host, distrust AS mass FROM seeds WHERE distrust > 0)",
+        """lone AS (SELECT DISTINCT host FROM (SELECT src AS host FROM edges UNION SELECT dst FROM edges) WHERE host NOT IN (SELECT host FROM urls)),
+        lone_fit AS (SELECT host, first(v ORDER BY length(h || p) DESC) AS v FROM lone JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND p = '/' GROUP BY host)""",
+        """seeds AS (SELECT host, avg((v IS NOT DISTINCT FROM 'allow')::INT) AS trust, avg((v IS NOT DISTINCT FROM 'block')::INT) AS distrust
+            FROM (SELECT host, v FROM urls LEFT JOIN fit USING (r) UNION ALL SELECT host, v FROM lone LEFT JOIN lone_fit USING (host)) GROUP BY host)""",
+        f"parts AS (SELECT src, dst, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY src) AS part FROM edges)",
+        "steps AS (SELECT src AS a, dst AS b, part, 1.0::DOUBLE AS passed, 't' AS kind FROM parts UNION ALL SELECT dst, src, part, 1 - coalesce(distrust, 0), 'd' FROM parts LEFT JOIN seeds ON host = src)",
+        "m0 AS (SELECT 't' AS kind, host, trust AS mass, trust AS on_way FROM seeds WHERE trust > 0 UNION ALL SELECT 'd', host, distrust, distrust FROM seeds WHERE distrust > 0)",
     ]
     n = url_filter.rounds()
-    for name, edges in (("t", "forth"), ("d", "back")):
-        ctes += [
-            f"{name}{k} AS MATERIALIZED (SELECT dst AS host, sum(part * mass) AS mass FROM {edges} JOIN {name}{k - 1} ON src = host GROUP BY dst)"
-            for k in range(1, n)
-        ]
-        union = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(n))
-        ctes.append(f"{name} AS (SELECT host, sum(mass) AS mass FROM ({union}) GROUP BY host)")
+    ctes += [
+        f"m{k} AS MATERIALIZED (SELECT kind, b AS host, sum(part * on_way) AS mass, sum(part * on_way) * any_value(passed) AS on_way FROM steps JOIN m{k - 1} USING (kind) WHERE a = host GROUP BY kind, b)"
+        for k in range(1, n)
+    ]
+    union = " UNION ALL ".join(f"SELECT kind, host, mass FROM m{k}" for k in range(1, n))
+    ctes.append(f"got AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'd'), 0) - coalesce(sum(mass) FILTER (WHERE kind = 't'), 0) AS more FROM ({union}) GROUP BY host)")
     return (
         "WITH "
         + ", ".join(ctes)
-        + f""" SELECT page_id, host, path, rule, coalesce(v, CASE WHEN round(d.mass - coalesce(t.mass, 0), 9) >= {url_filter.THRESHOLD} THEN 'block' END, 'allow') AS verdict
-        FROM urls LEFT JOIN fit USING (r) LEFT JOIN d USING (host) LEFT JOIN t USING (host)"""
+        + f""" SELECT page_id, host, path, rule, coalesce(v, CASE WHEN round(more - coalesce(trust, 0), 9) >= {url_filter.THRESHOLD} THEN 'block' END, 'allow') AS verdict
+        FROM urls LEFT JOIN fit USING (r) LEFT JOIN got USING (host) LEFT JOIN seeds USING (host)"""
     )
 
 
@@ -226,9 +226,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM freq WHERE k > 1 AND c >= {collocations.LEAST}),
     cut AS (SELECT *, array_to_string(w[1:j], ' ') AS p1, array_to_string(w[j + 1:], ' ') AS p2
             FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
-    cost AS (SELECT lang, phrase, a, j, x.c AS l, y.c AS r, (CAST({collocations.SCALE} AS HUGEINT) * a) // (x.c + y.c) AS score
-             FROM cut JOIN freq x USING (lang) JOIN freq y USING (lang)
-             WHERE x.phrase = p1 AND y.phrase = p2),
+    part AS (SELECT lang, phrase AS p, c FROM freq),
+    cost AS (SELECT cut.lang, cut.phrase, a, j, x.c AS l, y.c AS r, (CAST({collocations.SCALE} AS HUGEINT) * a) // (x.c + y.c) AS score
+             FROM cut JOIN part x ON x.lang = cut.lang AND x.p = p1 JOIN part y ON y.lang = cut.lang AND y.p = p2),
     low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cost),
     inner_part AS (SELECT lang, a AS longer, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
                    FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand WHERE k > 2))),
@@ -264,8 +264,8 @@ def _shard_sql() -> str:
             FROM doc, lookup),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {hashed("doc_id", "text_crc32")}, r) AS k,
                       count(*) OVER (PARTITION BY source) AS n FROM crc),
-    spread AS (SELECT *, (k - 1 + {hashed("source")} / CAST(16 AS DOUBLE) ** {sharding.DIGITS}) / n AS at FROM ranked),
-    placed AS (SELECT *, row_number() OVER (ORDER BY at, source NULLS FIRST, k) - 1 AS p, count(*) OVER () AS total FROM spread),
+    spread AS (SELECT *, (k - 1 + {hashed("source")} / CAST(16 AS DOUBLE) ** {sharding.DIGITS}) / n AS place FROM ranked),
+    placed AS (SELECT *, row_number() OVER (ORDER BY place, source NULLS FIRST, k) - 1 AS p, count(*) OVER () AS total FROM spread),
     dealt AS (SELECT *, p * {n} // total AS shard FROM placed)
     SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
            CAST(p - (shard * total + {n - 1}) // {n} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""

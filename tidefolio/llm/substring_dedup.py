@@ -12,8 +12,9 @@ an anchor, the match ends inside some of them, and their windows are compared
 one by one against the windows of all contexts of that anchor. A group is
 compared at once by counting digests, never pair by pair, so a passage that
 thousands of documents share costs its number of occurrences, not its square.
-Anchor and context (or window) hashes together are 128 bits. What matches is
-merged to maximal repeats per document. Each row is a document of its own,
+A word is known by a 128-bit digest; anchors are hashed from one half of it,
+contexts and windows from the other, so words that meet in one half part in
+the other. What matches is merged to maximal repeats per document. Each row is a document of its own,
 known by a number that is written once beside its text, whatever its doc_id.
 """
 
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefolio.llm.text import mix64
-from tidefolio.llm.words import runs, word_hashes
+from tidefolio.llm.words import WordDigests, runs
 from tidefolio.session import cut_lineage
 
 LENGTH = 35
 GRAM = 8
 GRAM_BASE = 0xD6E8FEB86659FD93
 CONTEXT_BASE = 0xA0761D6478BD642F
+WIDTH = 20  # bits of a place that hold the number of windows
 
 
 def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +64,14 @@ def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 
 def seeds_of(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor, context hash, first window and number of windows of each seed of a text."""
+    """Anchor, context hash, first window and number of windows of each seed of a text, from the digests of its words."""
     if len(words) < length:
         none = np.zeros(0, np.uint64)
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    value, place = anchors(words, length, gram)
+    value, place = anchors(words[:, 0], length, gram)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     n = np.diff(np.concatenate((first, [len(place)])))
-    return value[first], mix64(runs(words, first, first + n - 1 + length, CONTEXT_BASE) + n.astype(np.uint64)), first, n
+    return value[first], mix64(runs(words[:, 1], first, first + n - 1 + length, CONTEXT_BASE) + n.astype(np.uint64)), first, n
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -93,11 +95,12 @@ def find_seeds(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     """anchor, context, row, place of every seed of the packed texts; place holds first window and number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = WordDigests()
         for batch in batches:
             start, held, total = 0, [], 0
             for row, blob in enumerate(batch.column(1)):
-                a, c, first, n = seeds_of(word_hashes(_unpack(blob)), length, gram)
-                held.append((a, c, (first << 8) | n))
+                a, c, first, n = seeds_of(digests.of_text(_unpack(blob)), length, gram)
+                held.append((a, c, (first << WIDTH) | n))
                 total += len(a)
                 if total >= 200_000 or row == batch.num_rows - 1:
                     ids = batch.column(0).slice(start, len(held)).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
@@ -116,15 +119,16 @@ def find_windows(texts: DataFrame, wanted: DataFrame, length: int = LENGTH) -> D
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "place", "open")).alias("seeds"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = WordDigests()
         for batch in batches:
             for row in range(batch.num_rows):
-                words = word_hashes(_unpack(batch.column(1)[row]))
+                words = digests.of_text(_unpack(batch.column(1)[row]))[:, 1]
                 seeds = batch.column(2)[row].values
                 anchor, place, opened = (f.to_numpy(zero_copy_only=False) for f in seeds.flatten())
-                first, n = place >> 8, place & 0xFF
+                first, n = place >> WIDTH, place & (1 << WIDTH) - 1
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 hashes = mix64(runs(words, at, at + length, CONTEXT_BASE))
-                places = (at << 8) | 1
+                places = (at << WIDTH) | 1
                 ids = pa.repeat(batch.column(0)[row], len(at))
                 yield pa.record_batch(
                     [pa.array(np.repeat(anchor, n)), pa.array(hashes.view(np.int64)), ids, pa.array(places), pa.array(np.repeat(opened, n).astype(bool))],
@@ -156,7 +160,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 def covered(n_words: int, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which words of a text stand in a repeated window."""
     edge = np.zeros(n_words + 1, np.int64)
-    first, n = places >> 8, places & 0xFF
+    first, n = places >> WIDTH, places & (1 << WIDTH) - 1
     np.add.at(edge, first, 1)
     np.add.at(edge, first + n - 1 + length, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -173,8 +177,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     occurrence goes too. Words are what stands between space and 0x09-0x0D.
     A null text has no words; texts of fewer than `length` words stay whole;
     rows without doc_id are judged alike. Other columns are ignored; an empty
-    table gives no row.
+    table gives no row. Texts of any length are read whole.
     """
+    if not 0 < gram <= length or length - gram + 1 >= 1 << WIDTH:
+        raise ValueError(f"windows of {length} words need grams of 1 to {length} words and fewer than {1 << WIDTH} of them")
     texts = packed(docs)
     lists = repeats(texts, length, gram).groupBy("row").agg(F.collect_list("place").alias("places"))
 

@@ -1,10 +1,11 @@
-"""Hashes of the words of a text in numpy, whole texts in bounded slices."""
+"""Hashes of the words of a text, whole texts in bounded slices."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 #: words end at these bytes: space and 0x09-0x0D
 SPACES = b" \t\n\x0b\x0c\r"
@@ -59,3 +60,20 @@ def word_hashes(data: bytes) -> np.ndarray:
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         out.append(mix64(runs(a.astype(np.uint64) + np.uint64(1), starts, ends, BASE) + (ends - starts).astype(np.uint64)))
     return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+class WordDigests(dict):
+    """128-bit digest of each word met lately."""
+
+    MOST = 200_000
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = xxhash.xxh3_128_digest(word)
+        return found
+
+    def of_text(self, data: bytes) -> np.ndarray:
+        """Digests of the words in order, as two columns of 64 bits."""
+        joined = b"".join(b"".join(map(self.__getitem__, part.split())) for part in slices(data))
+        return np.frombuffer(joined, np.uint64).reshape(-1, 2)
