@@ -89,3 +89,19 @@ def test_stages_take_edge_rows_and_empty_tables(spark):
             if name != "byte_bpe":
                 assert docs.columns == schema.names
         assert docs.count() == n
+
+
+def test_a_corpus_without_languages_is_kept(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["one text", "été", "12 !", "", None])]
+    kept = corpus_pipeline.keep_languages(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1] and kept.columns == schema.names
+
+
+def test_first_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "one text here", "en", 5, "a", "b", 7), (2, "one text here", "en", 6, "a", "b", 8), (3, "another text", None, 4, "a", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row int, lang_pred string, fp string, first int")
+    for stage in (corpus_pipeline.keep_languages, corpus_pipeline.drop_near_copies):
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "_row", "lang_pred", "fp", "first"]
+    assert sorted(map(tuple, docs.collect())) == [rows[0], rows[2]]

@@ -57,13 +57,51 @@ def test_page_without_an_article_element():
         ("<p>1 < 2, and <3.</p>", "1 < 2, and <3."),
         ('<p title="a>b">in, here.</p>', "in, here."),
         ("<nav>only</nav><script>var x</script>", ""),
-        ("<article><p>Text, one.</p><style>p{}</style><div hidden>gone</div></article><article><p>x</p></article>", "Text, one."),
+        ("<article><p>Text, one.</p><style>p{}</style><div hidden>gone</div></article><article><p>x</p></article>", "Text, one. x"),
     ],
 )
 def test_small_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+TWELVE = [f"Sentence number {i}, with some words, ends here." for i in range(12)]
+FOUR = [f"<p>{t}</p>" for t in TWELVE]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><nav>Home, news.</nav><div class='content has-sidebar'>{}</div><div class='sidebar'><p>More, here.</p></div></body>",
+        "<body><form action='/'><input name='q'>{}</form><footer>Imprint, 2020.</footer></body>",
+        "<body><article><h1>Title</h1><h2 id='related-work'>Related work</h2>{}</article></body>",
+        "<body><article>{}<p id='share-prices'>Shares, too.</p></article></body>",
+        "<body><article><section id='legal-history'><h2>Law</h2>{}</section></article></body>",
+        "<body><div id='sidebar' class='x'>{}</div></body>",
+    ],
+)
+def test_marks_do_not_take_out_the_article(page):
+    got = html_text.main_text(page.format("".join(FOUR)))
+    assert all(t in got for t in TWELVE)
+    assert not re.search("Home|More, here|Imprint", got)
+    for kept in ("Related work", "Shares, too.", "Law"):
+        assert (kept in page) == (kept in got)
+
+
+@pytest.mark.parametrize("tag", ["section", "article"])
+@pytest.mark.parametrize("share", [6, 8, 10])
+def test_containers_beside_each_other_are_kept(tag, share):
+    parts = ["".join(FOUR[:share]), "".join(FOUR[share:])]
+    page = f"<body><nav>Home</nav><{tag}><h2>One</h2>{parts[0]}</{tag}><{tag}><h2>Two</h2>{parts[1]}</{tag}><div class='comments'><p>Nice, thanks!</p></div></body>"
+    want = " ".join(["One", *TWELVE[:share], "Two", *TWELVE[share:]])
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("mark", ["related-posts", "share-buttons", "newsletter-signup", "post-comments", "ad", "cookie-notice"])
+def test_plain_marks_inside_an_article_count(mark):
+    page = f"<article>{''.join(FOUR)}<div class='{mark}'><p>Other things, not this.</p></div></article>"
+    assert html_text.main_text(page) == " ".join(TWELVE)
+
+
 def test_odd_markup_is_read_in_linear_time():
     assert len(html_text.main_text("<p>word, word. " * 20_000).split()) == 40_000
     html_text.main_text('<a "' * 20_000)

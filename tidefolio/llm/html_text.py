@@ -3,9 +3,12 @@
 Text length and punctuation are summed per root-to-leaf tag path and divided
 by the path's nodes. Both ratios are smoothed along the page, fused to their
 product, and the paths above a share of its spread are content. The content
-nodes name the smallest container that holds most of them; what stands in it
-is the article, less what is marked as page furniture. Pages are parsed one by
-one; nothing is cut short.
+nodes name the smallest container that holds most of them, or all containers of
+its kind beside each other; what stands in it is the article, less what is
+marked as page furniture. A mark counts by how plain it is and never takes out
+what holds most of the page's text. Inside `article` and `main` all text is
+kept whatever its path's ratio: short lists and captions there belong to the
+article. Pages are parsed one by one; nothing is cut short.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from tidefolio.llm.text import others, schema_with
 SIGMA = 1.0  # of the smoothing, in text nodes
 SPREAD = 0.5  # share of the fused ratio's standard deviation that content must reach
 MOST = 0.6  # share of the content that a container must hold to be entered
+ALONE = 0.95  # share of it that one of several containers of a path must hold to be entered alone
 
 #: fixed values: HTML's element names by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +61,14 @@ MARKS = frozenset(
     related recommended breadcrumb breadcrumbs menu nav navbar navigation topbar masthead header footer pagination pager toolbar copyright skip
     disclaimer legal adslot adunit adbox adcontainer paywall""".split()
 )
-NEVER = frozenset("html body main article".split())
+#: fixed values: words that do not change what a mark beside them means
+NEUTRAL = frozenset(
+    """site page post posts main global top bottom left right inner outer wrap wrapper container box block section area bar list links link item items panel
+    module unit slot button buttons icon icons form content body text title mobile desktop primary secondary sticky fixed""".split()
+)
+NEVER = frozenset("html body main".split())
+WHOLE_PAGE = frozenset("form fieldset".split())  # furniture unless they hold most of the page
+WEAK, PLAIN, GONE = 1, 2, 3
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption".split()) | INLINE
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
@@ -71,7 +82,9 @@ class Element:
     tag: str
     path: int  # number of the root-to-element tag path
     parent: Element | None
-    furniture: bool
+    mark: int  # 0, or how plainly it is marked as furniture
+    held: int = 0  # length of the text below
+    furniture: bool = False  # it or what it stands in is taken out
     holder: Element = field(init=False)  # container around the block that the element is or stands in
     chosen: float = 0.0  # length of the content below
     inside: bool = False  # of the content's container
@@ -93,31 +106,57 @@ class Node:
         self.points = sum(unicodedata.category(c)[0] == "P" for c in self.text) if not self.text.isalnum() else 0
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    """Whether an element is marked as something else than the article."""
+def mark_of(tag: str, attributes: str) -> int:
+    """How plainly an element is marked as something else than the article.
+
+    A class name or id of marks and neutral words is plain, one where a mark
+    stands beside other words is weak. Paragraphs, headings and other leaves
+    are named for their contents: only a plain class counts there.
+    """
     if tag in FURNITURE:
-        return True
+        return PLAIN if tag in WHOLE_PAGE else GONE
     if tag in NEVER or not attributes.strip():
-        return False
+        return 0
+    found = 0
     for name, *value in _ATTRIBUTE.findall(attributes):
         name, text = name.lower(), "".join(value).lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(_SPLIT.split(text)):
-            return True
-        if name == "role" and text in ROLES or name == "hidden" or name == "aria-hidden" and text == "true":
-            return True
-        if name == "style" and "display:none" in text.replace(" ", ""):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and text == "true" or name == "style" and "display:none" in text.replace(" ", ""):
+            return GONE
+        if name == "role" and text in ROLES:
+            found = PLAIN
+        if name == "class" or name == "id" and tag not in LEAVES:
+            for one in text.split():
+                words = set(_SPLIT.split(one)) - {""}
+                if not MARKS.isdisjoint(words):
+                    found = max(found, PLAIN if words <= MARKS | NEUTRAL else WEAK)
+    return 0 if found == WEAK and (tag in LEAVES or tag == "article") else found
+
+
+def take_out_furniture(nodes: list[Node], elements: list[Element]) -> list[Node]:
+    """The nodes outside furniture; a weak mark inside an article, and one on what holds most of the text, is passed over."""
+    for n in nodes:
+        n.element.held += n.length
+    for e in reversed(elements):
+        if e.parent and e.mark != GONE:
+            e.parent.held += e.held
+    enough = MOST * elements[0].held
+    within: set[Element] = set()  # articles and what stands in them
+    for e in elements:
+        weak = e.mark == WEAK and e.parent in within
+        e.furniture = bool(e.parent and e.parent.furniture) or e.mark == GONE or (e.mark > 0 and not weak and e.held < enough)
+        if e.tag in ("article", "main") or e.parent in within:
+            within.add(e)
+    return [n for n in nodes if not n.element.furniture]
 
 
 def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
-    """Text nodes and elements in page order; raw and hidden text is left out.
+    """Text nodes and elements in page order; raw text is left out.
 
     Each step looks at the open elements only if one it may end is open, so
     deep pages take time in proportion to their length too.
     """
     nodes: list[Node] = []
-    elements = [Element("", 0, None, False)]
+    elements = [Element("", 0, None, 0)]
     stack, block, at = list(elements), 0, 0
     paths: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
@@ -142,7 +181,7 @@ def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
     def flush() -> None:
         if pending:
             text = entities.unescape("".join(pending))
-            if not stack[-1].furniture and text:
+            if text:
                 nodes.append(Node(text, stack[-1], block))
             pending.clear()
 
@@ -192,7 +231,7 @@ def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
             continue
         up = stack[-1]
         path = paths.setdefault((up.path, tag), len(paths) + 1)
-        stack.append(Element(tag, path, up, up.furniture or is_furniture(tag, m[3])))
+        stack.append(Element(tag, path, up, mark_of(tag, m[3])))
         elements.append(stack[-1])
         opened[tag] += 1
     flush()
@@ -222,6 +261,7 @@ def content_paths(nodes: list[Node], sigma: float = SIGMA, spread: float = SPREA
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null or a page without text."""
     nodes, elements = text_nodes(page or "")
+    nodes = take_out_furniture(nodes, elements)
     real = [n for n in nodes if n.length]
     if not real:
         return ""
@@ -236,15 +276,21 @@ def main_text(page: str | None) -> str:
         if e.parent and e.chosen:
             e.parent.chosen += e.chosen
             children.setdefault(e.parent, []).append(e)
-    root = elements[0]
+    root, roots = elements[0], [elements[0]]
     total = root.chosen
-    while root.tag not in ("article", "main"):
+    while len(roots) == 1 and root.tag not in ("article", "main"):
         best = max(reversed(children.get(root, [])), key=lambda e: e.chosen, default=None)
-        if best is None or best.tag in LEAVES or best.chosen < MOST * total:
+        alike = [e for e in children.get(root, []) if best and e.path == best.path]
+        held = sum(e.chosen for e in alike)
+        if best is None or best.tag in LEAVES or held < MOST * total:
             break
+        if len(alike) > 1 and best.tag not in ("article", "main") and best.chosen < ALONE * held:
+            break  # parts of one article: their container is the article, with what heads them
+        roots = alike if best.tag in ("article", "main") else [best]
         root = best
+    entered = set(roots)
     for e in elements:
-        e.inside = e is root or bool(e.parent and e.parent.inside)
+        e.inside = e in entered or bool(e.parent and e.parent.inside)
     whole = root.tag in ("article", "main")
     blocks: dict[int, list[str]] = {}
     for n in nodes:
@@ -260,7 +306,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Character references are decoded, white space in a block becomes one
     space, blocks are joined by one space in page order. Null html counts as
     empty and gives an empty text. Rows are read alone, so repeated rows
-    agree; an empty table gives no row.
+    agree; an empty table gives no row. Pages of any length are read whole.
     """
     rest = others(pages, ("text", "n_chars"))
 

@@ -174,3 +174,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def identify(docs: DataFrame, training: Column, **fit) -> DataFrame:
     """Learn from the training rows' text and lang and predict every row."""
     return predict(docs, train(docs, training, **fit))
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """Documents with a predicted language, with all their columns; without a learned language those with a letter.
+
+    The model names the likeliest of its languages for every text with a
+    letter, so it is such texts that stay: a null text and one without a letter
+    go, rows without ids, repeated rows and texts of any length are judged by
+    their text alone, and an empty table gives no row.
+    """
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("text", F.col(names[[c.lower() for c in docs.columns].index("text")]))
+    found = predict(plain, model).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

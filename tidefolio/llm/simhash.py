@@ -249,12 +249,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTA
     its whole component has none, and of rows tied on the id the text with the
     least digest stays. As in exact dedup, rows repeated with the id and text
     of that document are the same document and stay; rows without doc_id are
-    not, one of them stays. Rows are told apart by a number written with them.
+    not, one of them stays. Rows are told apart by a number written with them;
+    columns of docs may have any names.
     """
+    docs, names = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)}), docs.columns
+    held = {c: f"_c{i}" for i, c in enumerate(names)}  # so that no column of docs has a name used here
     numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    prints = cut_lineage(with_fingerprints(numbered, size, "_row"))
+    texts = numbered.select("_row", *[F.col(held[c]).alias(c.lower()) for c in names if c.lower() in ("doc_id", "text")])
+    prints = cut_lineage(with_fingerprints(texts, size, "_row"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
-    rows = cut_lineage(numbered.select("_row", "doc_id", digest).join(prints, "_row"))
+    rows = cut_lineage(texts.select("_row", "doc_id", digest).join(prints, "_row"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "_row")
     fps = cut_lineage(rows.groupBy("fp").agg(F.min(order).alias("first")))
     named = fingerprint_classes(fps, most)
@@ -263,4 +267,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTA
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     stays = (F.col("_row") == F.col("first._row")) | F.coalesce(same, F.lit(False))
     lost = cut_lineage(rows.join(known, "fp").where(~stays).select("_row"))
-    return numbered.join(lost, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(lost, "_row", "left_anti").select(*[F.col(held[c]).alias(c) for c in names])
