@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from tidefolio.llm import queries, simhash  # noqa: E402
+from tidefolio.llm import near_copies, queries  # noqa: E402
 from tidefolio.llm.decontaminate import split_words, windows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -59,14 +59,13 @@ def test_pipeline_against_brute_force(spark):
         key = re.sub("[A-Z]", lambda m: m[0].lower(), d["text"])
         best[key] = max(best.get(key, d["doc_id"]), d["doc_id"])
     docs = [d for d in docs if d["doc_id"] in set(best.values())]
-    prints = {d["doc_id"]: simhash.fingerprint(d["text"].encode()) for d in docs}
-    least = {i: i for i in prints}
-    for _ in prints:  # until nothing changes
+    sets = {d["doc_id"]: near_copies.shingles(d["text"].encode()) for d in docs}
+    linked = [(i, j) for i in sets for j in sets if i < j and near_copies.similarity(sets[i], sets[j]) >= 0.8]
+    least = {i: i for i in sets}
+    for _ in sets:  # until nothing changes
         before = dict(least)
-        for i in prints:
-            for j in prints:
-                if (prints[i] ^ prints[j]).bit_count() <= 4:
-                    least[i] = min(least[i], least[j])
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
         if least == before:
             break
     docs = [d for d in docs if least[d["doc_id"]] == d["doc_id"]]

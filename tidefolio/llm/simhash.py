@@ -15,7 +15,7 @@ is passed on, so a dense group costs its size in rows, not its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -31,6 +31,7 @@ from tidefolio.session import cut_lineage
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+Segments = tuple[tuple[int, int], ...]
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the Golay code
 CHUNK = 1 << 16  # shingles counted at once
@@ -96,12 +97,12 @@ class Golay:
         return self.count[self.check[words >> 11] ^ (words & 0x7FF)]
 
 
-def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(fps: np.ndarray, golay: Golay, segments: Segments = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) pairs of all fingerprints: a key names two segments and a codeword of each."""
-    words = [((fps >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in SEGMENTS]
+    words = [((fps >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in segments]
     keys, counts = [golay.keys(w).astype(np.int64) for w in words], [golay.counts(w) for w in words]
     out_keys, out_rows = [], []
-    for p, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
+    for p, (i, j) in enumerate(combinations(range(len(segments)), 2)):
         both = (p << 24) | (keys[i][:, :, None] << 12) | keys[j][:, None, :]
         real = (np.arange(keys[i].shape[1]) < counts[i][:, None])[:, :, None] & (np.arange(keys[j].shape[1]) < counts[j][:, None])[:, None, :]
         row = np.broadcast_to(np.arange(len(fps))[:, None, None], both.shape)
@@ -128,7 +129,10 @@ def forest(fps: np.ndarray, most: int = DISTANCE) -> tuple[list[np.ndarray], lis
     return left, right
 
 
-def links_in_runs(key: np.ndarray, fps: np.ndarray, most: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+Connect = Callable[[np.ndarray, int], tuple[list[np.ndarray], list[np.ndarray]]]
+
+
+def links_in_runs(key: np.ndarray, fps: np.ndarray, most: int = DISTANCE, connect: Connect = forest) -> tuple[np.ndarray, np.ndarray]:
     """Verified links among the fingerprints of each key; rows come sorted by key, keys are whole."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((first, [len(key)])))
@@ -140,20 +144,23 @@ def links_in_runs(key: np.ndarray, fps: np.ndarray, most: int = DISTANCE) -> tup
         left.append(a[met])
         right.append(b[met])
     for i in np.flatnonzero(size > SMALL):
-        a, b = forest(np.unique(fps[first[i] : first[i] + size[i]]), most)
+        a, b = connect(np.unique(fps[first[i] : first[i] + size[i]]), most)
         left += a
         right += b
     return np.concatenate(left), np.concatenate(right)
 
 
-def fingerprint_links(fps: DataFrame, most: int = DISTANCE, large: int = LARGE) -> DataFrame:
+def fingerprint_links(
+    fps: DataFrame, most: int = DISTANCE, large: int = LARGE, segments: Segments = SEGMENTS, connect: Connect = forest
+) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect all within `most` bits.
 
     A key of more than `large` fingerprints is dealt out in blocks: every two
     blocks meet in a task of their own, so that no task holds the whole key.
-    The keys are proven for DISTANCE bits; a larger `most` is an error.
+    The keys of SEGMENTS are proven for DISTANCE bits; a larger `most` is an
+    error with them. Other segments find what shares the codewords of two.
     """
-    if most > DISTANCE:
+    if segments == SEGMENTS and most > DISTANCE:
         raise ValueError(f"keys meet within {DISTANCE} bits only, not {most}")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +169,11 @@ def fingerprint_links(fps: DataFrame, most: int = DISTANCE, large: int = LARGE)
             all_fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(all_fps), 2000):
                 part = all_fps[at : at + 2000]
-                keys, rows = fuzzy_keys(part.view(np.uint64), golay)
+                keys, rows = fuzzy_keys(part.view(np.uint64), golay, segments)
                 yield pa.record_batch([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
     keyed = fps.select("fp").mapInArrow(spread, "key long, fp long")
-    met = cut_lineage(keyed_links(keyed, most, large))
+    met = cut_lineage(keyed_links(keyed, most, large, connect))
     links, over = met.where("linked").select("a", "b"), met.where("not linked").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if over.isEmpty():
         return links
@@ -176,10 +183,10 @@ def fingerprint_links(fps: DataFrame, most: int = DISTANCE, large: int = LARGE)
         "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    return links.unionByName(keyed_links(pairs, most, 2**62).select("a", "b"))
+    return links.unionByName(keyed_links(pairs, most, 2**62, connect).select("a", "b"))
 
 
-def keyed_links(keyed: DataFrame, most: int = DISTANCE, large: int = LARGE) -> DataFrame:
+def keyed_links(keyed: DataFrame, most: int = DISTANCE, large: int = LARGE, connect: Connect = forest) -> DataFrame:
     """Verified links a, b of the rows (key, fp), and with `linked` false the rows of keys that are too large."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +213,7 @@ def keyed_links(keyed: DataFrame, most: int = DISTANCE, large: int = LARGE) -> D
                 first = np.flatnonzero(np.concatenate(([True], keys[1:last] != keys[: last - 1])))
                 size = np.diff(np.concatenate((first, [last])))
                 fit = np.repeat(size <= large, size)
-                a, b = links_in_runs(keys[:last][fit], fps[:last][fit], most)
+                a, b = links_in_runs(keys[:last][fit], fps[:last][fit], most, connect)
                 yield rows(a.view(np.int64), b, True)
                 if not fit.all():
                     yield rows(keys[:last][~fit], fps[:last][~fit], False)
