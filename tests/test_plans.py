@@ -43,6 +43,17 @@ def test_scan_reads_only_needed_columns(spark):
     assert scans and all(s.split("ReadSchema: ")[1].startswith("struct<l_shipdate:") for s in scans)
 
 
+def test_asof_weights_make_only_asked_days(spark):
+    """Values are spread over numbers of asked dates, never over days."""
+    plan = _plan(queries()["benchmark_weights_asof"](spark, SF))
+    assert "sequence(_from" in plan and "sequence(day" not in plan
+
+
+def test_year_states_read_no_data_column(spark):
+    plan = _plan(queries()["panel_year_states"](spark, SF))
+    assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)) == {"struct<>"}
+
+
 def test_top_rows_are_cut_before_the_shuffle(spark):
     plan = _plan(queries()["universe_top_by_cap"](spark, SF))
     assert "WindowGroupLimit" in plan

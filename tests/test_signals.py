@@ -137,3 +137,9 @@ def test_grid_points_from_a_table(spark):
     cols = ["id", "in_ic", "in_ic_std", "decay"]
     one, two = (sg.with_points(df, p).select(*cols).collect() for p in (points, table))
     assert sorted(one) == sorted(two) and len(one) == 6
+
+
+def test_points_equal_after_rounding_are_measured_once(panel):
+    points = [("a", 0.05, 0.1, 0.5), ("b", 0.05 + 1e-9, 0.1, 0.5), ("a", 0.05, 0.1 - 1e-9, 0.5)]
+    rows = run_grid(panel, trading_calendar(panel), points, (7,), fwd_days=2, every=3, min_names=20).collect()
+    assert sorted(r["sweep"] for r in rows) == ["a", "b"] and len({(r["in_ic"], r["in_ic_std"], r["ic"]) for r in rows}) == 1

@@ -161,3 +161,15 @@ def test_warehouse_reads_only_selects(spark):
 
     with pytest.raises(ValueError):
         read_query(spark, "DROP TABLE x")
+
+
+def test_year_states_tell_absent_empty_and_undated(spark):
+    path = new_table_path(spark, "panel")
+    rows = spark.createDataFrame([("a", date(2001, 5, 1)), ("b", date(2001, 5, 2)), ("a", date(2004, 1, 1)), ("c", None)], "code string, date date")
+    store.write_panel(rows, path)
+    rows.where("code = 'none'").coalesce(1).write.parquet(f"{path}/year=2002")
+    got = {r.year: (r.rows, r.state) for r in store.year_states(spark, path, date(2001, 1, 1), date(2003, 12, 31)).collect()}
+    assert got == {2001: (2, "present"), 2002: (0, "empty"), 2003: (0, "absent"), None: (1, "undated")}
+    assert {r.year for r in store.missing_years(spark.read.parquet(path), date(2001, 1, 1), date(2003, 12, 31)).collect()} == {2002, 2003}
+    with pytest.raises(ValueError):
+        store.year_states(spark, path, date(2003, 1, 1), date(2001, 1, 1))

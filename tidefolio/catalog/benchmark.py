@@ -97,7 +97,7 @@ near AS (SELECT t.date, max(b.date) AS bm_date FROM targets t JOIN (SELECT DISTI
 def benchmark_weights_asof(spark, sf):
     panel, days, n = load(spark, sf)
     targets = cal.rebalance_dates(days, 3)
-    weights = bm.benchmark_weights(panel, "hs300", max_rows=n)
+    weights = bm.benchmark_weights_at(panel, "hs300", targets, max_rows=n)
     universe = (
         panel.where(~F.col("code").endswith(".BJ"))
         .select("date", "code")

@@ -71,8 +71,19 @@ def panel_etl_by_year(spark, sf):
 @query(with_panel("""
 SELECT y::INTEGER AS year FROM range(1990, 2006) r(y) WHERE y NOT IN (SELECT DISTINCT year(date) FROM panel)"""))
 def panel_missing_years(spark, sf):
-    stored = proxy.panel(spark, sf).withColumn("year", F.year("date"))
-    return store.missing_years(stored, date(1990, 1, 1), date(2005, 12, 31))
+    states = store.year_states(spark, _stored(spark, sf), date(1990, 1, 1), date(2005, 12, 31))
+    return states.where(F.col("state").isin("absent", "empty")).select("year")
+
+
+@query(with_panel("""
+SELECT y::INTEGER AS year, count(p.date) AS rows, CASE WHEN count(p.date) = 0 THEN 'absent' ELSE 'present' END AS state
+FROM range(1990, 2006) r(y) LEFT JOIN panel p ON year(p.date) = y AND p.code NOT LIKE '%.BJ' GROUP BY 1
+UNION ALL SELECT NULL, count(*), 'undated' FROM panel WHERE code LIKE '%.BJ' HAVING count(*) > 0"""))
+def panel_year_states(spark, sf):
+    path = new_table_path(spark, "panel")
+    dated = F.when(~F.col("code").endswith(".BJ"), F.col("date")).alias("date")
+    store.write_panel(proxy.panel(spark, sf).select("code", dated, "close"), path)
+    return store.year_states(spark, path, date(1990, 1, 1), date(2005, 12, 31)).drop("files")
 
 
 @query("""

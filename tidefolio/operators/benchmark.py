@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidefolio.functions.cols import is_member, positive, ratio, tier_factor
-from tidefolio.operators.calendar import asof_join, trading_calendar
+from tidefolio.operators.calendar import asof_dates, asof_join, trading_calendar
 from tidefolio.operators.crosssection import share_of_total
 
 
@@ -57,6 +57,41 @@ def benchmark_weights(
     return shares.select("date", "code", "bm_weight")
 
 
+def benchmark_weights_at(
+    panel: DataFrame, index: str, targets: DataFrame, calendar: DataFrame | None = None, max_rows: int | None = None
+) -> DataFrame:
+    """(date, code, bm_weight) with leavers carried, only on the dates that ``targets`` ask for.
+
+    A target asks for the last date with members not after it. A known value
+    counts from its day to the code's next one. Days are numbered by how many
+    asked dates lie before them, so a span between two numbers holds just its
+    asked dates; a span without one is dropped, and no other day is made.
+    """
+    values = adjusted_values(panel, index)
+    days = (trading_calendar(values) if calendar is None else calendar).select("date")
+    asked = asof_dates(targets.select("date").distinct(), days, "_asked").select(F.col("_asked").alias("date")).distinct()
+    over_days = Window.orderBy("date")
+    numbered = days.join(F.broadcast(asked.withColumn("_ask", F.lit(1))), "date", "left").select(
+        "date",
+        "_ask",
+        F.coalesce(F.sum("_ask").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"),
+        F.coalesce(
+            F.sum("_ask").over(over_days.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)
+        ).alias("_all"),
+    )
+    spans = (
+        values.where(F.col("adj_mv").isNotNull())
+        .join(F.broadcast(numbered.select("date", "_from", "_all")), "date")
+        .withColumn("_until", F.coalesce(F.lead("_from").over(Window.partitionBy("code").orderBy("date")), "_all"))
+        .where(F.col("_from") < F.col("_until"))
+    )
+    filled = spans.select("code", "adj_mv", F.explode(F.sequence("_from", F.col("_until") - 1)).alias("_from")).join(
+        F.broadcast(numbered.where(F.col("_ask") == 1).select("_from", "date")), "_from"
+    )
+    shares = share_of_total(filled, "adj_mv", "bm_weight", max_rows=max_rows)
+    return shares.select("date", "code", "bm_weight")
+
+
 def benchmark_asof(
     universe: DataFrame, targets: DataFrame, weights: DataFrame, max_rows: int | None = None
 ) -> DataFrame:

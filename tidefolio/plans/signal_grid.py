@@ -44,9 +44,15 @@ def run_grid(
     seeds: Sequence[int] = K.GRID_SEEDS,
     **options,
 ) -> DataFrame:
-    """One row per (sweep, point) with inputs, measured statistics and seed count."""
+    """One row per (sweep, point) with inputs, measured statistics and seed count.
+
+    Points of equal values after rounding to six places are measured once,
+    with the values of the first; each of their sweeps has a row.
+    """
     points = sg.grid_points() if points is None else list(points)
-    unique = list(dict.fromkeys((a, b, d) for _, a, b, d in points))
+    first = {tuple(round(x, 6) for x in p[1:]): p[1:] for p in sg.distinct_points(points)}
+    points = list(dict.fromkeys((s, *first[round(a, 6), round(b, 6), round(d, 6)]) for s, a, b, d in points))
+    unique = list(first.values())
     stats = measure_points(panel, calendar, unique, seeds, **options)
     sweeps = F.create_map(
         *[

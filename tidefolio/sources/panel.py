@@ -80,6 +80,33 @@ def missing_years(stored: DataFrame, start: date, end: date) -> DataFrame:
     return wanted.join(have.distinct(), "year", "left_anti")
 
 
+def year_states(spark: SparkSession, path: str, start: date, end: date) -> DataFrame:
+    """(year, files, rows, state) of a stored panel: what each year of the range holds.
+
+    state is ``absent`` without a file, ``empty`` with files but no row, else
+    ``present``. Rows stored without a date make one more line, with a NULL
+    year and the state ``undated``. Files are listed and rows counted from the
+    file footers; no column of the data is read.
+    """
+    if start > end:
+        raise ValueError(f"start {start} is after end {end}")
+    year = F.col("year").try_cast("int").alias("year")
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        .groupBy(year).agg(F.count(F.lit(1)).alias("files"))
+    )
+    counted = spark.read.parquet(path).groupBy(year).agg(F.count(F.lit(1)).alias("rows"))
+    wanted = spark.range(start.year, end.year + 1).select(F.col("id").cast("int").alias("year"))
+    by_year = wanted.join(listed, "year", "left").join(counted, "year", "left").select(
+        "year", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("rows", F.lit(0)).alias("rows")
+    )
+    state = F.when(F.col("files") == 0, "absent").when(F.col("rows") == 0, "empty").otherwise("present")
+    undated = listed.join(counted, listed["year"].eqNullSafe(counted["year"])).where(listed["year"].isNull()).select(
+        listed["year"], "files", "rows", F.lit("undated").alias("state")
+    )
+    return by_year.withColumn("state", state).unionByName(undated)
+
+
 def resolve_columns(columns: Sequence[str] | None, add_adj_vwap: bool = True) -> list[str]:
     """Wanted columns, each once; code and date come first."""
     names = list(K.DEFAULT_COLUMNS) if columns is None else list(dict.fromkeys(["code", "date", *columns]))
