@@ -125,8 +125,9 @@ def _kept_step(spark: SparkSession, path: str, make: Callable[[], DataFrame], by
     return spark.read.parquet(path)
 
 
-def _run_carried(spread: DataFrame, names: DataFrame, solve, max_rows: int | None, store: str) -> tuple[DataFrame, DataFrame]:
+def _run_carried(spread: DataFrame, names: DataFrame, solve, max_rows: int | None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     spark = names.sparkSession
+    store = store or new_table_path(spark, "rebalance")
     last = spread.select("scenario_id", "code", F.lit(0.0).alias("weight")).where(F.lit(False))
     dates = [r[0] for r in names.select("date").distinct().orderBy("date").collect()]
     feasible = F.col("status_code") == al.OPTIMAL
