@@ -143,3 +143,23 @@ def test_points_equal_after_rounding_are_measured_once(panel):
     points = [("a", 0.05, 0.1, 0.5), ("b", 0.05 + 1e-9, 0.1, 0.5), ("a", 0.05, 0.1 - 1e-9, 0.5)]
     rows = run_grid(panel, trading_calendar(panel), points, (7,), fwd_days=2, every=3, min_names=20).collect()
     assert sorted(r["sweep"] for r in rows) == ["a", "b"] and len({(r["in_ic"], r["in_ic_std"], r["ic"]) for r in rows}) == 1
+
+
+@pytest.mark.parametrize("max_rows", [N, None])
+def test_grid_measures_what_the_operators_do_without_dealing_the_points(panel, max_rows):
+    """Against calibration signals measured step by step; before the rows of all points there is one exchange, of the series."""
+    from tidefolio.plans import signal_grid
+
+    days, points, seeds = trading_calendar(panel), [(0.3, 0.1, 0.0), (0.1, 0.2, 0.8)], (5, 6)
+    forward, dates = sg.standard_forward_returns(panel, days, 2, 20), sg.evaluation_dates(panel, days, 2, 3, 20)
+    keys = ["in_ic", "in_ic_std", "decay", "seed"]
+    rows = sg.measured_rows(sg.calibration_signals(forward, days, points, seeds), forward, dates, keys, min_names=20)
+    stats = sg.signal_statistics(sg.information_coefficients(rows, keys), sg.persistence(rows, keys), keys, 2).toPandas()
+    want = stats.groupby(keys[:3])[signal_grid.STATS].mean()
+    got = signal_grid.measure_points(panel, days, points, seeds, 2, 3, 20, max_rows=max_rows).toPandas().set_index(keys[:3])[signal_grid.STATS]
+    assert len(got) == 2 and np.allclose(got.loc[want.index].to_numpy(float), want.to_numpy(float), atol=1e-9)
+    if max_rows:
+        stored, cells = signal_grid.cut_lineage(forward), signal_grid._coefficients(forward, days, points, seeds)
+        places = signal_grid.cut_lineage(dates.withColumn("place", F.lit(1)))
+        plan = signal_grid._point_rows(stored, signal_grid.cut_lineage(days), places, cells, seeds)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1

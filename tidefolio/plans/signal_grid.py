@@ -4,16 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidefolio.functions import fixed as K
+from tidefolio.functions.cols import hash_normal
 from tidefolio.operators import signals as sg
+from tidefolio.operators.calendar import with_day
+from tidefolio.operators.groups import fits_one_task
+from tidefolio.operators.timeseries import FOLD
 from tidefolio.session import cut_lineage
 
-KEYS = ["in_ic", "in_ic_std", "decay", "seed"]
 STATS = ["ic", "ic_std", "icir", "ir_theory", "ls_ir", "ls_ann", "autocorr", "turnover"]
 
 
+def _coefficients(forward: DataFrame, calendar: DataFrame, points: Sequence[tuple[float, float, float]], seeds: Sequence[int]) -> DataFrame:
+    """(cell, in_ic, in_ic_std, decay, seed, days): per day of the calendar a, b, m with the standardised signal a z + b noise - m.
+
+    A date's signal is linear in z and the noise, so its mean and deviation
+    follow from moments of the two; no point is spread over the names for them.
+    """
+    drawn = _noisy(forward, seeds)
+    moments = drawn.groupBy("seed", "date").agg(
+        F.avg("z").alias("mz"), F.avg("eps").alias("me"), F.var_samp("z").alias("vz"), F.var_samp("eps").alias("ve"), F.covar_samp("z", "eps").alias("c")
+    )
+    days = cut_lineage(calendar.select("date", "day").join(cut_lineage(moments), "date", "left").where("seed is not null"))
+    cells = sg.with_points(days, points).withColumn("_zr", hash_normal(F.col("seed"), F.col("date")))
+    rho = F.least(F.greatest(F.col("in_ic") + F.col("in_ic_std") * F.col("_zr"), F.lit(-0.95)), F.lit(0.95))
+    x, y = F.col("_x"), F.col("_y")
+    spread = F.sqrt(F.greatest(x * x * F.col("vz") + y * y * F.col("ve") + 2 * x * y * F.col("c"), F.lit(0.0))) + 1e-10
+    at = cells.withColumn("_x", rho).withColumn("_y", F.sqrt(1 - x * x)).withColumn("_d", spread)
+    row = F.struct("day", (x / F.col("_d")).alias("a"), (y / F.col("_d")).alias("b"), ((x * F.col("mz") + y * F.col("me")) / F.col("_d")).alias("m"))
+    by_day = F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("int"), row))).alias("_by")
+    held = at.groupBy("in_ic", "in_ic_std", "decay", "seed").agg(by_day).crossJoin(F.broadcast(calendar.agg(F.max("day").cast("int").alias("_last"))))
+    dense = held.withColumn("days", F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.try_element_at("_by", i))).drop("_by", "_last")
+    return cut_lineage(dense.withColumn("cell", F.row_number().over(Window.orderBy("in_ic", "in_ic_std", "decay", "seed"))))
+
+
+def _noisy(forward: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """The rows once per seed, with the noise of (seed, date, code) as in `calibration_signals`."""
+    drawn = forward.select("date", "code", "z").withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    return drawn.withColumn("eps", hash_normal(F.col("seed"), F.col("date"), F.col("code")))
+
+
+def _point_rows(forward: DataFrame, calendar: DataFrame, places: DataFrame, coefficients: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """(cell, place, code, f, before, fwd_ret) on the evaluated dates; ``before``: f of the place before, NULL if the code is not there.
+
+    A code's series is one array; points and seeds are spread over the arrays,
+    smoothed as in `timeseries.smooth`, and only evaluated days leave the task.
+    """
+    rows = with_day(forward.select("date", "code", "z", "fwd_ret"), calendar).withColumn("day", F.col("day").cast("int")).join(F.broadcast(places), "date", "left")
+    series = rows.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("day", "date", "place", "z", "fwd_ret"))).alias("_rows"))
+    seeded = series.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    noise = F.transform("_rows", lambda r: F.struct(r["day"].alias("day"), r["place"].alias("place"), r["z"].alias("z"), r["fwd_ret"].alias("fwd_ret"),
+                                                    hash_normal(F.col("seed"), r["date"], F.col("code")).alias("eps")))
+    spread = seeded.withColumn("_rows", noise).join(F.broadcast(coefficients.select("cell", "decay", "seed", "days")), "seed")
+    d = F.col("decay")
+    none = "cast(array() as array<struct<place:int,f:double,fwd_ret:double>>)"
+
+    def day(done: Column, r: Column) -> Column:
+        c = F.get("days", r["day"])
+        s = c["a"] * r["z"] + c["b"] * r["eps"] - c["m"]
+        f = F.when(r["day"] == done["day"] + 1, d * done["f"] + F.sqrt(1 - d * d) * s).otherwise(s)
+        kept = F.struct(r["place"].alias("place"), f.alias("f"), r["fwd_ret"].alias("fwd_ret"))
+        out = F.when(r["place"].isNotNull(), F.concat(done["out"], F.array(kept))).otherwise(done["out"])
+        return F.struct(r["day"].alias("day"), f.alias("f"), out.alias("out"))
+
+    def block(done: Column, i: Column) -> Column:
+        start = F.struct(done["day"].alias("day"), done["f"].alias("f"), F.expr(none).alias("out"))
+        end = F.aggregate(F.slice("_rows", i * FOLD + 1, FOLD), start, day)
+        return F.struct(end["day"].alias("day"), end["f"].alias("f"), F.concat(done["outs"], F.array(end["out"])).alias("outs"))
+
+    empty = F.expr("named_struct('day', cast(null as int), 'f', cast(null as double), 'outs', cast(array() as array<array<struct<place:int,f:double,fwd_ret:double>>>))")
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / FOLD).cast("int"))
+    folded = spread.select("cell", "code", F.flatten(F.aggregate(blocks, empty, block)["outs"]).alias("_z"))
+    out = folded.select("cell", "code", F.posexplode("_z").alias("_i", "_r"), "_z")
+    last = F.get("_z", F.col("_i") - 1)
+    before = F.when(last["place"] == F.col("_r.place") - 1, last["f"])
+    return out.select("cell", "_r.place", "code", "_r.f", before.alias("before"), "_r.fwd_ret").where(F.col("f").isNotNull())
+
+
 def measure_points(
     panel: DataFrame,
     calendar: DataFrame,
@@ -26,14 +95,46 @@ def measure_points(
     price: str = "adj_close",
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Statistics of each point, averaged over the seeds."""
+    """Statistics of each point, averaged over the seeds.
+
+    The measures are those of `calibration_signals`, `measured_rows`,
+    `information_coefficients` and `persistence`; the last scaling of a signal
+    changes no rank and is left out. The rows of all points are dealt once, by
+    point, seed and date; of them only the top groups are written.
+    """
     forward = cut_lineage(sg.standard_forward_returns(panel, calendar, fwd_days, min_names, price, max_rows))
     dates = cut_lineage(sg.evaluation_dates(panel, calendar, fwd_days, every, min_names, price))
-    signals = sg.calibration_signals(forward, calendar, points, seeds, max_rows)
-    rows = cut_lineage(sg.measured_rows(signals, forward, dates, KEYS, q, min_names, max_rows))
-    stats = sg.signal_statistics(
-        sg.information_coefficients(rows, KEYS, max_rows), sg.persistence(rows, KEYS, max_rows=max_rows), KEYS, fwd_days
+    counted = forward.join(F.broadcast(dates), "date", "left_semi").groupBy("date").agg(F.count(F.lit(1)).alias("names")).where(F.col("names") >= min_names)
+    places = cut_lineage(counted.select("date", F.row_number().over(Window.orderBy("date")).alias("place")))
+    cells = _coefficients(forward, calendar, points, seeds)
+    section = ["cell", "place"]
+    rows = sg.top_and_bottom(_point_rows(forward, calendar, places, cells, seeds), "f", q, section, max_rows)
+    rows = rows.withColumn("both", F.col("before").isNotNull())
+    rows = sg.average_ranks(rows, section, {"_rf": "f", "_rr": "fwd_ret"}, max_rows)
+    rows = sg.average_ranks(rows, [*section, "both"], {"_cf": "f", "_cb": "before"}, max_rows)
+    # a top group that one task may hold is written with its figures; rows of larger ones are written as they are
+    gathered = fits_one_task(rows, max_rows)
+    rows = rows if gathered else cut_lineage(rows)
+    again = F.when(F.col("top") & F.col("both"), F.struct("before", "code"))
+    top = F.when(F.col("top"), F.struct((-F.col("f")).alias("f"), "code"))
+    mark = rows.groupBy(*section).agg(
+        F.corr("_rf", "_rr").alias("ic"),
+        (F.avg(F.when(F.col("top"), F.col("fwd_ret"))) - F.avg(F.when(F.col("bottom"), F.col("fwd_ret")))).alias("long_short"),
+        F.corr(F.when(F.col("both"), F.col("_cf")), F.when(F.col("both"), F.col("_cb"))).alias("_auto"),
+        F.count_if("both").alias("_common"),
+        F.max("k").alias("k"),
+        F.max(top).alias("_end"),
+        *([F.collect_list(again).alias("_tops")] if gathered else []),
     )
+    mark = cut_lineage(mark.withColumn("ic", F.when(~F.isnan("ic"), F.col("ic"))))
+    tops = mark.select(*section, F.explode("_tops").alias("_t")) if gathered else rows.select(*section, again.alias("_t")).where("_t is not null")
+    ends = cut_lineage(mark.select("cell", (F.col("place") + 1).alias("place"), F.col("_end").alias("_was")))
+    held = tops.join(F.broadcast(ends), section).where(F.struct((-F.col("_t.before")).alias("f"), F.col("_t.code").alias("code")) <= F.col("_was"))
+    stayed = held.groupBy(*section).agg(F.count(F.lit(1)).alias("_stayed"))
+    auto = F.when((F.col("_common") > 10) & ~F.isnan("_auto"), F.col("_auto"))
+    turnover = 1 - F.coalesce("_stayed", F.lit(0)) / F.col("k")
+    moves = mark.join(ends, section, "left_semi").join(stayed, section, "left").select(*section, auto.alias("autocorr"), turnover.alias("turnover"))
+    stats = sg.signal_statistics(mark, moves, ["cell"], fwd_days).join(F.broadcast(cells.drop("days")), "cell")
     return stats.groupBy("in_ic", "in_ic_std", "decay").agg(*[F.avg(c).alias(c) for c in STATS])
 
 
