@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import accumulate, product
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -277,3 +278,14 @@ def test_very_long_texts(files):
 def test_encoding_is_the_libraries(files, libraries, text):
     pair, a = token_align.Pair.load(files), libraries[0]
     assert pair.a.encode_ordinary(" " + text) == a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_cuts_take_few_steps_per_token():
+    """Ends are looked up as arrays; tokens that never end together give no cut before the last."""
+    pair = token_align.Pair(token_align.public_pair())
+    assert isinstance(pair.a_size, np.ndarray) and pair.cuts([], []) == ([], [])
+    for text in ("a", "Straße 12, ünïcode 中文", "word " * 50):
+        a, b = pair.encode(text)
+        ends = [set(np.cumsum([len(size[i]) for i in ids]).tolist()) for ids, size in ((a, pair.a_bytes), (b, pair.b_bytes))]
+        x, y = pair.cuts(a, b)
+        assert len(x) == len(y) == len(ends[0] & ends[1]) and (x[-1], y[-1]) == (len(a), len(b))

@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: groups of tokens of two tokenizers that cover the same bytes.
 
-Each side's cumulative byte ends index its tokens in a dictionary. The ends
-that both dictionaries hold, sorted, slice both id lists into groups, and every
+Each side's cumulative byte ends rise, so the ends of one side are looked up
+among the other's. Those that both hold slice both id lists into groups, and every
 slice is expanded to the links of tokens that end together. Texts are encoded
 once; their links are written as packed numbers, counted over the corpus, and
 scored against a table of counts in broadcast blocks of bounded size.
@@ -66,7 +66,7 @@ class Pair:
         for token, i in ranks.items():
             self.a_bytes[i] = token
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
-        self.a_size, self.b_size = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = [*map(str, range(len(self.a_bytes)))], [*map(str, range(len(self.b_bytes)))]
 
     @classmethod
@@ -83,7 +83,7 @@ class Pair:
             return [], []
         want = b" " + text.encode()
         a = self.a.encode_ordinary(" " + text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != want:
+        if self.a.decode_bytes(a) != want:
             return [], []
         b = self.b.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, b)) != want:
@@ -92,10 +92,13 @@ class Pair:
 
     def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Number of tokens of each side before every common end; tokens have a byte at least, so an end has one token."""
-        ends_a = dict(zip(accumulate(map(self.a_size.__getitem__, a)), range(1, len(a) + 1), strict=True))
-        ends_b = dict(zip(accumulate(map(self.b_size.__getitem__, b)), range(1, len(b) + 1), strict=True))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        return [*map(ends_a.__getitem__, common)], [*map(ends_b.__getitem__, common)]
+        ends_a = np.cumsum(self.a_size[np.array(a, np.int64)])
+        ends_b = np.cumsum(self.b_size[np.array(b, np.int64)])
+        if not len(ends_a) or not len(ends_b):
+            return [], []
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        common = np.flatnonzero(ends_b[at] == ends_a)
+        return (common + 1).tolist(), (at[common] + 1).tolist()
 
     def group_text(self, a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
         """The groups as text: ids by commas, sides by a bar, groups by semicolons."""
