@@ -52,6 +52,19 @@ def test_bpe_equals_the_library(spark, vocabulary):
         assert bytes(r["decoded"]) == text.encode()
 
 
+def test_one_worker_encodes_and_decodes(spark, vocabulary):
+    """Two Python steps in a row would run two workers per task, each with a vocabulary and batches of its own."""
+    import corpus_pipeline
+
+    rows = [(i, "en", "s", t) for i, t in enumerate([*ODD, None, "", "x y"])]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").withColumn("Decoded", F.lit("clash"))
+    want = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
+    got = byte_bpe.encode_decode(docs, vocabulary)
+    assert got.columns == want.columns and sorted(got.collect(), key=lambda r: r[0]) == sorted(want.collect(), key=lambda r: r[0])
+    for one in (corpus_pipeline.tokenise(spark, docs, SF), byte_bpe.round_trip(docs, vocabulary)):
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_memo_is_bounded_and_changes_nothing(vocabulary):
     small, large = byte_bpe.Encoder(vocabulary, memo=3), byte_bpe.Encoder(vocabulary)
     for text in ("one two three four five six", "six five other words", "one two"):

@@ -168,6 +168,37 @@ class Encoder:
         return out
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, text: str, rest: list[str], ids: str) -> Iterator[pa.RecordBatch]:
+    """The columns `rest`, which come first, and the ids of the texts, in slices of a few megabytes."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text))
+        start, size, parts = 0, 0, []
+        for row, t in enumerate(texts):
+            parts.append(encoder.encode(t.as_py() or ""))
+            size += 4 * len(parts[-1])
+            if size >= OUT or row == len(texts) - 1:
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+                held = [batch.column(i).slice(start, len(parts)) for i in range(len(rest))]
+                yield pa.record_batch([*held, lists], [*rest, ids])
+                start, size, parts = row + 1, 0, []
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: list[bytes], ids: str, rest: list[str], out: str) -> Iterator[pa.RecordBatch]:
+    """The columns `rest`, which come first, and the bytes of the ids, in slices of a few megabytes."""
+    token = tokens.__getitem__
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index(ids))
+        start, size, parts = 0, 0, []
+        for row, v in enumerate(lists):
+            parts.append(b"".join(map(token, v.values.to_numpy(zero_copy_only=False).tolist())) if v.is_valid else b"")
+            size += len(parts[-1])
+            if size >= OUT or row == len(lists) - 1:
+                held = [batch.column(i).slice(start, len(parts)) for i in range(len(rest))]
+                yield pa.record_batch([*held, pa.array(parts, pa.binary())], [*rest, out])
+                start, size, parts = row + 1, 0, []
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs and the text's token ids as an array; a column named `ids` is replaced.
 
@@ -178,19 +209,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     rest = others(docs, (ids.lower(),))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            start, size, parts = 0, 0, []
-            for row, t in enumerate(texts):
-                parts.append(encoder.encode(t.as_py() or ""))
-                size += 4 * len(parts[-1])
-                if size >= OUT or row == len(texts) - 1:
-                    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                    held = [batch.column(i).slice(start, len(parts)) for i in range(len(rest))]
-                    yield pa.record_batch([*held, lists], [*rest, ids])
-                    start, size, parts = row + 1, 0, []
+        return _encoded(batches, Encoder(shared.value), text, rest, ids)
 
     return docs.select(*rest).mapInArrow(work, schema_with(docs, rest, f"`{ids}` array<int>"))
 
@@ -201,21 +220,23 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     rest = others(docs, (out.lower(),))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            start, size, parts = 0, 0, []
-            for row, v in enumerate(lists):
-                parts.append(b"".join(map(token, v.values.to_numpy(zero_copy_only=False).tolist())) if v.is_valid else b"")
-                size += len(parts[-1])
-                if size >= OUT or row == len(lists) - 1:
-                    held = [batch.column(i).slice(start, len(parts)) for i in range(len(rest))]
-                    yield pa.record_batch([*held, pa.array(parts, pa.binary())], [*rest, out])
-                    start, size, parts = row + 1, 0, []
+        return _decoded(batches, shared.value, ids, rest, out)
 
     return docs.select(*rest).mapInArrow(work, schema_with(docs, rest, f"`{out}` binary"))
 
 
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """`encode`, then `decode` of its ids, by one worker per task: two at once would each hold a vocabulary and batches."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rest = others(docs, (ids.lower(), out.lower()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = _encoded(batches, Encoder(shared.value), text, rest, ids)
+        return _decoded(coded, shared.value.tokens, ids, [*rest, ids], out)
+
+    return docs.select(*rest).mapInArrow(work, schema_with(docs, rest, f"`{ids}` array<int>, `{out}` binary"))
+
+
 def digests() -> list[Column]:
     """Count and digests of the columns `ids` and `decoded`."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -228,7 +249,7 @@ def digests() -> list[Column]:
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids and the decoded bytes of every document."""
-    return decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    return encode_decode(docs.select("doc_id", "text"), vocabulary).drop("text")
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
