@@ -96,3 +96,21 @@ def test_deferred_sales_join_on_code_and_day(spark):
     assert {r["code"]: r["sale_date"] for r in out.collect()} == {"a": d[2], "b": None, "c": d[3]}
     joins = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", _plan(out))
     assert joins and all("exec_date" in j and "code" in j for j in joins)
+
+
+def test_reports_are_made_from_one_panel_and_one_book(spark, monkeypatch):
+    """Every further panel or book is the query's whole input read, dealt and written once more."""
+    from tidefolio.catalog import performance
+    from tidefolio.operators import execution
+
+    made = []
+
+    def counted(name, make):
+        return lambda *args, **kwargs: made.append(name) or make(*args, **kwargs)
+
+    monkeypatch.setattr(performance, "stored", counted("panel", performance.stored))
+    monkeypatch.setattr(execution, "trade_book", counted("book", execution.trade_book))
+    for query in (performance.report_store, performance.report_store_timeseries):
+        made.clear()
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+        assert sorted(made) == ["book", "panel"]
