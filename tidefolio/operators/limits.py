@@ -9,8 +9,10 @@ group whose limits cannot hold together is known from sums of bounds alone.
 One more limit on the whole portfolio (members, turnover, or the distance to
 the reference) has one price, and the sum it limits is monotone in it. Zero is
 tried first and the price beyond which nothing moves any more second: if even
-that breaks the limit, it cannot be met. Between the two, rounds of evenly
-spaced prices, all tried in one job, narrow the bracket.
+that breaks the limit, it cannot be met. Between the two, rounds of a few
+prices, all tried in one job, narrow the bracket: about the price where a line
+through its ends meets the limit, and its middle, so that it halves at least.
+A group leaves the rounds once its value is known to the tolerance.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from tidefolio.session import cut_lineage
 NOT_CONVERGED = "not_converged"
 WHOLE = ("constituent", "turnover", "deviation")  # limits on the whole portfolio, in the order they are searched
 DOUBLINGS = 40.0  # of gamma, beyond which a portfolio no longer gets closer to its reference
-POINTS = 32
-ROUNDS = 4
+FIRST = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)  # shares of the whole span that the first round tries
+NEAR = (-1 / 16, -1 / 512, 1 / 512, 1 / 16)  # shares of the bracket around the line's price that later rounds try
+ROUNDS = 24  # halvings of the bracket at worst
 TOLERANCE = 1e-6
+#: what a weight and the sums over a portfolio depend on
+PRICED = ("industry", "is_constituent", "alpha", "ref", "gamma", "kappa", "prev_weight", "lb", "ub")
 
 
 def industry_sides(names: DataFrame, limits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -121,7 +126,6 @@ def allocate_limited(
     names: DataFrame,
     limits: DataFrame,
     keys: Sequence[str] = KEYS,
-    points: int = POINTS,
     rounds: int = ROUNDS,
     tolerance: float = TOLERANCE,
     max_rows: int | None = None,
@@ -133,7 +137,7 @@ def allocate_limited(
     other, or when a limit of the portfolio is broken at every price. One
     portfolio limit may bind at a time; a group where a second one is broken by
     more than ``tolerance`` then ends as ``not_converged``. Style limits are
-    not met here. Rows per job: names of groups under search times ``points``.
+    not met here. Rows per job: names of groups under search times five.
     """
     at = list(keys)
     names, limits = cut_lineage(names), cut_lineage(limits)
@@ -157,10 +161,19 @@ def allocate_limited(
         .drop("_span")
     )
     search = cut_lineage(found)
+    settled = []
     for _ in range(rounds):
-        search = cut_lineage(_narrowed(names, limits, search, points, keys, max_rows))
-    share = F.when(F.col("v1") == F.col("v0"), 1.0).otherwise((F.coalesce("hi", "lo") - F.col("v0")) / (F.col("v1") - F.col("v0")))
-    price = F.col("p0") + (F.col("p1") - F.col("p0")) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+        tried = cut_lineage(_narrowed(names, limits, search, keys, max_rows))
+        ends = F.least(F.abs(F.col("v1") - F.col("v0")), 10 * F.abs(F.col("v1") - _bound()))
+        open_ = F.col("met") & (ends > tolerance)
+        settled.append(tried.where(~open_))
+        search = tried.where(open_)
+        if search.isEmpty():
+            break
+    for part in settled:
+        search = search.unionByName(part)
+    # an end that is as close as that is the price itself
+    price = F.when(10 * F.abs(F.col("v1") - _bound()) <= tolerance, F.col("p1")).otherwise(_line())
     last = cut_lineage(search.withColumn("limit_price", price))
     moved = allocate_industries(_at_price(names.join(last.where("met"), at), F.col("limit_price")).select(*names.columns, "kind", "limit_price"), limits, keys, max_rows)
     lost = free.join(last.where("not met").select(*at, "kind"), at).withColumns(
@@ -177,24 +190,34 @@ def allocate_limited(
     return out.join(open_, at, "left").withColumn("status_code", F.when(late, NOT_CONVERGED).otherwise(F.col("status_code"))).drop("_open")
 
 
-def _narrowed(names: DataFrame, limits: DataFrame, search: DataFrame, points: int, keys: Sequence[str], max_rows: int | None) -> DataFrame:
-    """The bracket of each group after trying ``points`` prices in it; ``met`` is false if none meets the limit."""
+def _bound() -> Column:
+    return F.coalesce("hi", "lo")
+
+
+def _line() -> Column:
+    """The price within the bracket where the line through its ends meets the limit."""
+    share = F.when(F.col("v1") == F.col("v0"), 1.0).otherwise((_bound() - F.col("v0")) / (F.col("v1") - F.col("v0")))
+    return F.col("p0") + (F.col("p1") - F.col("p0")) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+
+
+def _narrowed(names: DataFrame, limits: DataFrame, search: DataFrame, keys: Sequence[str], max_rows: int | None) -> DataFrame:
+    """The bracket of each group after trying prices in it; ``met`` is false if none meets the limit."""
     at = list(keys)
-    tried = search.where("met").withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(points))))
-    tried = tried.withColumn("_p", F.col("p0") + (F.col("p1") - F.col("p0")) * F.col("_j") / points)
+    p0, p1 = F.col("p0"), F.col("p1")
+    whole = F.array(*[p0 + (p1 - p0) * x for x in FIRST])
+    near = F.filter(F.array((p0 + p1) / 2, *[_line() + (p1 - p0) * x for x in NEAR]), lambda p: (p > p0) & (p < p1))
+    tried = search.select("*", F.posexplode(F.when(F.col("v1").isNull(), whole).otherwise(near)).alias("_j", "_p"))
     rows = _at_price(names.join(tried.select(*at, "_j", "_p", "kind", "lo", "hi"), at), F.col("_p"))
-    rows = cut_lineage(rows.select(*at, "_j", *[c for c in names.columns if c not in at]))
-    each = limits.where("kind = 'industry'").join(search.where("met").select(*at), at, "left_semi")
-    each = each.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(points))))
+    rows = cut_lineage(rows.select(*at, "_j", *PRICED))
+    each = limits.where("kind = 'industry'").join(tried.select(*at, "_j"), at)
     sums = portfolio_sums(allocate_industries(rows, each, [*at, "_j"], max_rows), [*at, "_j"])
     seen = tried.join(sums, [*at, "_j"]).withColumn("_v", _value()).withColumn("_ok", _broken(F.col("_v")) <= 0)
-    first = seen.groupBy(*at).agg(
-        F.min_by(F.struct("_j", "_p", "_v"), F.when(F.col("_ok"), F.col("_j"))).alias("end"), F.min(F.when(F.col("_ok"), F.col("_j"))).alias("_first")
-    )
-    start = seen.join(first.select(*at, "_first"), at).where(F.col("_j") == F.col("_first") - 1).select(*at, F.col("_p").alias("_p0"), F.col("_v").alias("_v0"))
+    first = seen.groupBy(*at).agg(F.min(F.when(F.col("_ok"), F.struct("_p", "_v"))).alias("_end"))
+    start = seen.where(~F.col("_ok")).join(first, at).where(F.col("_end").isNull() | (F.col("_p") < F.col("_end._p")))
+    start = start.groupBy(*at).agg(F.max(F.struct("_p", "_v")).alias("_start"))
     return search.join(first, at, "left").join(start, at, "left").select(
         *at, "kind", "lo", "hi",
-        F.coalesce("_v0", "v0").alias("v0"), F.coalesce("_p0", "p0").alias("p0"),
-        F.coalesce("end._p", "p1").alias("p1"), F.coalesce("end._v", "v1").alias("v1"),
-        (F.col("met") & F.col("_first").isNotNull()).alias("met"),
+        F.coalesce("_start._v", "v0").alias("v0"), F.coalesce("_start._p", "p0").alias("p0"),
+        F.coalesce("_end._p", "p1").alias("p1"), F.coalesce("_end._v", "v1").alias("v1"),
+        (F.col("_end").isNotNull() | F.col("v1").isNotNull()).alias("met"),
     )
