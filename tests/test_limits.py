@@ -151,3 +151,24 @@ def test_portfolio_limits_hold_and_are_optimal(spark):
             priced.append(tuple(r))
         want = nested(priced, {"i1": (-9.0, 0.15)})
         assert w == {c: pytest.approx(x, abs=1e-7) for c, x in want.items()}
+
+
+def test_a_price_is_found_in_few_trials(spark, monkeypatch):
+    """Every trial is a copy of the group's names, so their number is what a search costs."""
+    rng = np.random.default_rng(9)
+    rows, limits = [], []
+    for name, kind, lo, hi in (("members", "constituent", 0.8, None), ("turnover", "turnover", None, 0.9), ("ball", "deviation", None, 0.2)):
+        rows += names(rng, name)
+        limits += [(name, D, kind, "x", lo, hi), (name, D, "industry", "i1", None, 0.15)]
+    tried, written = [], lm.cut_lineage
+
+    def counted(df, *args):
+        out = written(df, *args)
+        if {"_j", "alpha", "lb"} <= set(out.columns):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "cut_lineage", counted)
+    got = lm.allocate_limited(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(limits, LIMITS), max_rows=1000).collect()
+    assert len(got) == len(rows) and all(r.status_code == al.OPTIMAL and r.limit_price > 0 for r in got)
+    assert 0 < sum(tried) < 32 * len(rows)

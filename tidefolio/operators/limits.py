@@ -29,7 +29,9 @@ NOT_CONVERGED = "not_converged"
 WHOLE = ("constituent", "turnover", "deviation")  # limits on the whole portfolio, in the order they are searched
 DOUBLINGS = 40.0  # of gamma, beyond which a portfolio no longer gets closer to its reference
 FIRST = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)  # shares of the whole span that the first round tries
-NEAR = (-1 / 16, -1 / 512, 1 / 512, 1 / 16)  # shares of the bracket around the line's price that later rounds try
+NEAR = 1 / 16  # share of the bracket that later rounds go to either side of the line's price, less as its misses shrink
+CARE = 4.0  # how much wider than the miss that is expected
+LEAST = 2.0**-20
 ROUNDS = 24  # halvings of the bracket at worst
 TOLERANCE = 1e-6
 #: what a weight and the sums over a portfolio depend on
@@ -137,7 +139,8 @@ def allocate_limited(
     other, or when a limit of the portfolio is broken at every price. One
     portfolio limit may bind at a time; a group where a second one is broken by
     more than ``tolerance`` then ends as ``not_converged``. Style limits are
-    not met here. Rows per job: names of groups under search times five.
+    not met here. Rows per job: names of groups under search times five, later
+times three.
     """
     at = list(keys)
     names, limits = cut_lineage(names), cut_lineage(limits)
@@ -157,7 +160,7 @@ def allocate_limited(
         .agg(F.min(F.struct(order.alias("o"), "kind", "lo", "hi", "v0")).alias("s"))
         .select(*at, "s.kind", "s.lo", "s.hi", "s.v0")
         .join(spans, at)
-        .withColumns({"p0": F.lit(0.0), "p1": F.when(F.col("kind") == "deviation", DOUBLINGS).otherwise(F.col("_span")), "v1": F.lit(None).cast("double"), "met": F.lit(True)})
+        .withColumns({"p0": F.lit(0.0), "p1": F.when(F.col("kind") == "deviation", DOUBLINGS).otherwise(F.col("_span")), "v1": F.lit(None).cast("double"), "line": F.lit(None).cast("double"), "width": F.lit(None).cast("double"), "met": F.lit(True)})
         .drop("_span")
     )
     search = cut_lineage(found)
@@ -205,7 +208,10 @@ def _narrowed(names: DataFrame, limits: DataFrame, search: DataFrame, keys: Sequ
     at = list(keys)
     p0, p1 = F.col("p0"), F.col("p1")
     whole = F.array(*[p0 + (p1 - p0) * x for x in FIRST])
-    near = F.filter(F.array((p0 + p1) / 2, *[_line() + (p1 - p0) * x for x in NEAR]), lambda p: (p > p0) & (p < p1))
+    # a line misses by the square of its bracket's width; how far the last one missed shows in the present one
+    miss = F.coalesce(CARE * F.abs(_line() - F.col("line")) * F.pow((p1 - p0) / F.col("width"), F.lit(2.0)), p1 - p0)
+    far = F.greatest(F.least(miss, (p1 - p0) * NEAR), (p1 - p0) * LEAST)
+    near = F.filter(F.array((p0 + p1) / 2, _line() - far, _line() + far), lambda p: (p > p0) & (p < p1))
     tried = search.select("*", F.posexplode(F.when(F.col("v1").isNull(), whole).otherwise(near)).alias("_j", "_p"))
     rows = _at_price(names.join(tried.select(*at, "_j", "_p", "kind", "lo", "hi"), at), F.col("_p"))
     rows = cut_lineage(rows.select(*at, "_j", *PRICED))
@@ -219,5 +225,6 @@ def _narrowed(names: DataFrame, limits: DataFrame, search: DataFrame, keys: Sequ
         *at, "kind", "lo", "hi",
         F.coalesce("_start._v", "v0").alias("v0"), F.coalesce("_start._p", "p0").alias("p0"),
         F.coalesce("_end._p", "p1").alias("p1"), F.coalesce("_end._v", "v1").alias("v1"),
+        F.when(F.col("v1").isNotNull(), _line()).alias("line"), F.when(F.col("v1").isNotNull(), F.col("p1") - F.col("p0")).alias("width"),
         (F.col("_end").isNotNull() | F.col("v1").isNotNull()).alias("met"),
     )
