@@ -1,5 +1,6 @@
 """Signal measures against pandas on small random panels."""
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -163,3 +164,53 @@ def test_grid_measures_what_the_operators_do_without_dealing_the_points(panel, m
         places = signal_grid.cut_lineage(dates.withColumn("place", F.lit(1)))
         plan = signal_grid._point_rows(stored, signal_grid.cut_lineage(days), places, cells, seeds)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_grid_deals_sections_in_parts_and_not_name_by_name(spark, panel, monkeypatch):
+    """No window or exploded row per name of a cell; any size of the parts and batches gives the same figures."""
+    from tidefolio.plans import signal_grid
+
+    days, points, plans, cut = trading_calendar(panel), [(0.3, 0.1, 0.0), (0.1, 0.2, 0.8), (0.05, 0.1, 0.95)], [], signal_grid.cut_lineage
+
+    def noted(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *by)
+
+    def measured():
+        out = signal_grid.measure_points(panel, days, points, (5, 6), 2, 3, 20, max_rows=N).toPandas()
+        return out.sort_values(["in_ic", "decay"]).to_numpy(float)
+
+    monkeypatch.setattr(signal_grid, "cut_lineage", noted)
+    whole = measured()
+    assert len(whole) == 3 and not np.isnan(whole).any()
+    assert not [p for p in plans if "posexplode" in p or re.search(r"Window \[.*cell#\d+, place#\d+", p)]
+    monkeypatch.setattr(signal_grid, "HELD", 50)  # parts of a code or two
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert np.allclose(measured(), whole, rtol=0, atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_section_with_ties_against_pandas():
+    from tidefolio.plans.signal_grid import _ranks, _section
+
+    rng = np.random.default_rng(3)
+    f0, f, ahead = (rng.integers(0, 6, n).astype(float) for n in (40, 37, 37))
+    codes0, codes = (np.sort(rng.permutation(60)[:n]) for n in (40, 37))
+    at = np.array([int(np.flatnonzero(codes0 == c)[0]) if c in codes0 else -1 for c in codes])
+    ranks = _ranks(ahead, np.argsort(ahead))[0]
+    _, was = _section(f0, f0, _ranks(f0, np.argsort(f0))[0], 0.2, np.full(40, -1), None)
+    (ic, spread, auto, turnover), _ = _section(f, ahead, ranks, 0.2, at, was)
+    now = pd.DataFrame({"f": f, "fwd": ahead}, index=codes).rename_axis("code").reset_index()
+    before = pd.DataFrame({"f": f0, "code": codes0})
+    ends = [x.sort_values(["f", "code"], ascending=[up, True]).head(k) for x, up, k in ((now, False, 7), (now, True, 7), (before, False, 8))]
+    both = now.merge(before, on="code")
+    assert ic == pytest.approx(now["f"].rank().corr(now["fwd"].rank()))
+    assert spread == pytest.approx(ends[0]["fwd"].mean() - ends[1]["fwd"].mean())
+    assert len(both) > 10 and auto == pytest.approx(both["f_x"].rank().corr(both["f_y"].rank()))
+    assert turnover == pytest.approx(1 - len(set(ends[0]["code"]) & set(ends[2]["code"])) / 7)
+
+
+def test_a_grid_without_valid_dates_is_empty(panel):
+    assert run_grid(panel, trading_calendar(panel), [("a", 0.05, 0.1, 0.5)], (7,), fwd_days=2, every=3, min_names=N + 1, max_rows=N).collect() == []
