@@ -214,3 +214,13 @@ def test_a_section_with_ties_against_pandas():
 
 def test_a_grid_without_valid_dates_is_empty(panel):
     assert run_grid(panel, trading_calendar(panel), [("a", 0.05, 0.1, 0.5)], (7,), fwd_days=2, every=3, min_names=N + 1, max_rows=N).collect() == []
+
+
+def test_both_plans_of_the_grid_agree_on_nan(panel):
+    """NaN is the largest value, also where the place before is asked whether a code was in its top group."""
+    from tidefolio.plans import signal_grid
+
+    odd = panel.withColumn("adj_close", F.when((F.col("code") == "c05") & (F.col("date") == date(2024, 1, 20)), F.lit(float("nan"))).otherwise(F.col("adj_close")))
+    days, points = trading_calendar(odd), [(0.3, 0.1, 0.0), (0.1, 0.2, 0.8)]
+    got = [signal_grid.measure_points(odd, days, points, (5,), 2, 3, 20, max_rows=n).toPandas().sort_values("in_ic").to_numpy(float) for n in (N, None)]
+    assert len(got[0]) == 2 and np.allclose(*got, atol=1e-9, equal_nan=True)

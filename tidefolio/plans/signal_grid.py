@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidefolio.functions import fixed as K
 from tidefolio.functions.cols import hash_normal
@@ -259,6 +259,11 @@ def _measured(packed: DataFrame, q: float) -> DataFrame:
     return packed.repartition("share").sortWithinPartitions("share", "place", "start").mapInArrow(work, schema)
 
 
+def _down(f: str) -> Column:
+    """Orders the codes from the largest f, which is NaN."""
+    return F.struct((~F.isnan(f)).alias("known"), (-F.col(f)).alias("f"), "code")
+
+
 def _measured_apart(rows: DataFrame, q: float, max_rows: int | None) -> tuple[DataFrame, DataFrame]:
     """(cell, place, ic, long_short, …) and (cell, place, autocorr, turnover) of the rows of `_point_rows`, none of whose sections one task need hold."""
     section = ["cell", "place"]
@@ -271,12 +276,12 @@ def _measured_apart(rows: DataFrame, q: float, max_rows: int | None) -> tuple[Da
         F.corr(F.when(F.col("both"), F.col("_cf")), F.when(F.col("both"), F.col("_cb"))).alias("_auto"),
         F.count_if("both").alias("_common"),
         F.max("k").alias("k"),
-        F.max(F.when(F.col("top"), F.struct((-F.col("f")).alias("f"), "code"))).alias("_end"),
+        F.max(F.when(F.col("top"), _down("f"))).alias("_end"),
     )
     mark = cut_lineage(mark.withColumn("ic", F.when(~F.isnan("ic"), F.col("ic"))))
-    again = rows.where(F.col("top") & F.col("both")).select(*section, (-F.col("before")).alias("f"), "code")
+    again = rows.where(F.col("top") & F.col("both")).select(*section, _down("before").alias("_down"))
     ends = cut_lineage(mark.select("cell", (F.col("place") + 1).alias("place"), F.col("_end").alias("_was")))
-    held = again.join(F.broadcast(ends), section).where(F.struct("f", "code") <= F.col("_was"))
+    held = again.join(F.broadcast(ends), section).where(F.col("_down") <= F.col("_was"))
     stayed = held.groupBy(*section).agg(F.count(F.lit(1)).alias("_stayed"))
     auto = F.when((F.col("_common") > COMMON) & ~F.isnan("_auto"), F.col("_auto"))
     turnover = 1 - F.coalesce("_stayed", F.lit(0)) / F.col("k")
